@@ -158,9 +158,10 @@ def _accept(pairs: DataFrame, cap: int) -> DataFrame:
     """
     hashes = F.xxhash64("a_id"), F.xxhash64("b_id")
     pairs = pairs.withColumn("first", F.least(*hashes)).withColumn("second", F.greatest(*hashes))
-    accepted = None
+    accepted, rounds = None, 0
     rest = cut_lineage(pairs)
     while not rest.isEmpty():
+        rounds += 1
         both = [F.struct(F.col(f"{end}_id").alias("end"), F.col(f"{end}_left").alias("left")) for end in ("a", "b")]
         ends = rest.select("a_id", "b_id", "score", "first", "second", F.inline(F.array(*both)))
         order = Window.partitionBy("end").orderBy(F.desc("score"), "first", "second", "a_id", "b_id")
@@ -176,6 +177,8 @@ def _accept(pairs: DataFrame, cap: int) -> DataFrame:
         chosen = cut_lineage(chosen)
         taken = rest.join(chosen, ["a_id", "b_id"], "left_semi")
         accepted = taken if accepted is None else accepted.unionByName(taken)
+        if rounds % 10 == 0:
+            accepted = cut_lineage(accepted)
         used = chosen.select(F.explode(F.array("a_id", "b_id")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("used"))
         rest = rest.join(chosen, ["a_id", "b_id"], "left_anti")
         for end in ("a", "b"):

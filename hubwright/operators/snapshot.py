@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from hubwright.functions.values import property_entries, truncate_value
 from hubwright.operators.graph import DST, ID, SRC, PropertyGraph, property_schema
 from hubwright.operators.health import degrees
+from hubwright.session import cut_lineage
 
 MAX_NODES = 400
 MAX_EDGES = 1500
@@ -60,12 +61,13 @@ class Snapshot:
 
 def snapshot(graph: PropertyGraph, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> Snapshot:
     """The cut with its legend, totals, and a flag each for nodes and edges left out."""
-    kept = snapshot_nodes(graph, max_nodes)
+    # at most max_nodes rows, written once instead of ranking all degrees for each use
+    kept = cut_lineage(snapshot_nodes(graph, max_nodes))
     links = snapshot_edges(graph, kept, max_edges)
-    total = graph.all_nodes().agg(F.count(F.lit(1)).alias("total_nodes"))
-    among = _edges_among(graph, kept).agg(F.count(F.lit(1)).alias("edges_among"))
-    # one row each
-    flags = total.join(F.broadcast(among), F.lit(True), "left").select(
+    total = graph.all_nodes().select(F.lit(1).alias("node"), F.lit(0).alias("edge"))
+    among = _edges_among(graph, kept).select(F.lit(0).alias("node"), F.lit(1).alias("edge"))
+    counted = total.unionByName(among).agg(F.sum("node").alias("total_nodes"), F.sum("edge").alias("edges_among"))
+    flags = counted.select(
         "total_nodes",
         "edges_among",
         (F.col("total_nodes") > max_nodes).alias("nodes_sampled"),

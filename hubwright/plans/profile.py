@@ -23,36 +23,31 @@ def distinct_cap(row_count: int, max_distinct: int = MAX_DISTINCT, ratio: float
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct counts of several columns in one job.
+    """Exact distinct counts (NULL ignored) of several columns in one job, with the row count.
 
-    Every task reduces its rows to distinct (column, value) pairs before the
-    shuffle, so a frequent value costs one row per task. Columns are told apart
-    by position, and all are compared as text.
+    Every task reduces its rows to counted (column, value) pairs before the
+    shuffle, so a frequent value costs one row per task. All values are compared
+    as text.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
     return (
-        df.select(F.explode(cells).alias("cell"))
-        .select("cell.column", "cell.value")
-        .where(F.col("value").isNotNull())
-        .distinct()
+        df.select(F.inline(cells))
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("uses"))
         .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("distinct_values"))
+        .agg(F.count("value").alias("distinct_values"), F.sum("uses").alias("row_count"))
     )
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """Exact distinct count (NULL ignored) of every text-like column, with the row count."""
+    """Exact distinct count of every text-like column, with the row count; zeros for an empty table."""
     columns = text_columns(df)
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], PROFILE_SCHEMA)
-    total = df.agg(F.count(F.lit(1)).alias("row_count"))
     names = spark.createDataFrame([(c,) for c in columns], "column string")
-    # one row against one row per column: sizes fixed by the schema
-    frame = names.join(F.broadcast(total), F.lit(True), "left").join(
-        F.broadcast(distinct_counts(df, columns)), "column", "left"
-    )
-    return frame.select("column", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "row_count")
+    counted = names.join(distinct_counts(df, columns), "column", "left")
+    return counted.select("column", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("distinct_values", "row_count")])
 
 
 def screen_columns(df: DataFrame, columns: Sequence[str], max_distinct: int, ratio: float) -> tuple[int, list[str]]:
@@ -85,7 +80,5 @@ def dimension_columns(
     if not rows or not near:
         return nothing
     cap = distinct_cap(rows, max_distinct, ratio)
-    counts = distinct_counts(df, near).where(
-        (F.col("distinct_values") > 1) & (F.col("distinct_values") <= cap) & (F.col("distinct_values") < rows)
-    )
-    return counts.select("column", "distinct_values", F.lit(rows).cast("bigint").alias("row_count"))
+    distinct = F.col("distinct_values")
+    return distinct_counts(df, near).where((distinct > 1) & (distinct <= cap) & (distinct < F.col("row_count")))
