@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hubwright.operators.graph import EDGE_ENDS, ID, SRC
+from hubwright.operators.graph import EDGE_ENDS, ID, SRC, union_by_name
 
 
 def _merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,9 +27,18 @@ def _merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
             merged.append(F.col(f"`_new_{c}`").alias(c))
         else:
             merged.append(F.when(arrived, F.col(f"`_new_{c}`")).otherwise(F.col(f"`{c}`")).alias(c))
+    return updated.select(*merged).unionByName(_unknown(old, new, keys), allowMissingColumns=True)
+
+
+def _unknown(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows whose key is not there yet. The old side is cut down to the new keys first, on its key columns alone."""
     known = old.select(*keys).join(new.select(*keys), keys, "left_semi")
-    inserted = new.join(known, keys, "left_anti")
-    return updated.select(*merged).unionByName(inserted, allowMissingColumns=True)
+    return new.join(known, keys, "left_anti")
+
+
+def insert_missing(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Add nodes that are not there yet and leave all others alone."""
+    return union_by_name([old, _unknown(old, new, [ID])])
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,7 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     """Latest entry per table. A missing or unreadable state is an empty one."""
     try:
         log = spark.read.parquet(path).select("source_table", "column", "high_water", "updated_at")
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], STATE_SCHEMA)
     latest = log.groupBy("source_table").agg(F.max_by(F.struct("column", "high_water", "updated_at"), "updated_at").alias("s"))
     return latest.select("source_table", "s.column", "s.high_water", "s.updated_at")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from hubwright.functions.values import to_text
 from hubwright.operators.build import build_graph
-from hubwright.operators.graph import ID, KEY, PropertyGraph
-from hubwright.operators.upsert import upsert_edges, upsert_nodes
+from hubwright.operators.graph import ID, PropertyGraph
+from hubwright.operators.upsert import insert_missing, upsert_edges, upsert_nodes
 from hubwright.plans.model import JoinModel, Model
 from hubwright.sources.state import read_state, write_state
 from hubwright.sources.tables import TableSpec
@@ -28,15 +28,17 @@ def merge_load(graph: PropertyGraph, spec: TableSpec, model: Model, replace_for_
     """
     fresh = build_graph([(spec, model)])
     nodes = dict(graph.nodes)
+    touched = None
+    if not isinstance(model, JoinModel):
+        loaded = build_graph([(spec, replace(model, relationships=()))]).nodes[model.label]
+        nodes[model.label] = upsert_nodes(nodes[model.label], loaded) if model.label in nodes else loaded
+        touched = loaded.select(ID) if replace_for_upserted else None
     for label, frame in fresh.nodes.items():
-        nodes[label] = upsert_nodes(nodes[label], frame) if label in nodes else frame
+        only_loaded = not isinstance(model, JoinModel) and label == model.label and all(r.to_label != label for r in model.relationships)
+        if not only_loaded:
+            # hubs and key-only nodes have nothing to update
+            nodes[label] = insert_missing(nodes[label], frame) if label in nodes else frame
     edges = dict(graph.edges)
-    touched = None
-    if replace_for_upserted and not isinstance(model, JoinModel):
-        touched = fresh.nodes[model.label].where(F.col(KEY) == ",".join(model.key)).select(ID)
-        if any(r.self_reference or r.to_label == model.label for r in model.relationships):
-            # key-only parents share the label but were not loaded
-            touched = build_graph([(spec, replace(model, relationships=()))]).nodes[model.label].select(ID)
     for key, frame in fresh.edges.items():
         edges[key] = upsert_edges(edges[key], frame, touched) if key in edges else frame
     return PropertyGraph(nodes, edges)
