@@ -58,7 +58,7 @@ def build_nodes(df: DataFrame, model: NodeModel, unique: bool = False) -> DataFr
     if unique:
         return nodes
     if model.synthetic:
-        return nodes.dropDuplicates([ID])  # rows of one hash are equal in every column
+        return nodes.distinct()  # rows of one hash are equal in every column
     return one_per_key(nodes, [ID])
 
 
@@ -141,8 +141,8 @@ def build_graph(
     Tables that share a label meet in one node table, and referenced rows that
     no table supplies become key-only nodes. A foreign key that is enforced
     against a loaded table adds none and costs no join. ``stage`` may
-    materialise the hashed rows of tables without a key (``cut_lineage``), so
-    that each edge type does not hash them anew.
+    materialise the hashed rows of tables without a key (``stage_table``), so
+    that each edge type reads two columns instead of hashing all of them anew.
     """
     labels: dict[str, _Parts] = defaultdict(_Parts)
     edges: dict[EdgeKey, list[DataFrame]] = defaultdict(list)
@@ -157,7 +157,7 @@ def build_graph(
             continue
         df, unique = spec.df, spec.key_enforced and not model.synthetic
         if model.synthetic and stage is not None:
-            df, unique = stage(keyed_rows(df, model).drop(ID).dropDuplicates([ROW_KEY])), True
+            df, unique = stage(keyed_rows(df, model).drop(ID).distinct()), True
         labels[model.label].rows[",".join(model.key)].append(build_nodes(df, model, unique))
         for rel in model.relationships:
             if rel.kind == DIMENSION:

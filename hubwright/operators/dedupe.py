@@ -40,9 +40,14 @@ def candidates(frame: DataFrame, prop: str, keep_unicode: bool = False) -> DataF
     return named.withColumn("norm", normalize_text(F.col("text"), keep_unicode))
 
 
+def _forms(nodes: DataFrame) -> DataFrame:
+    """Nodes with a digest of their normal form. Values may be whole texts; 64 characters are shuffled in their place."""
+    return nodes.where("norm != ''").select(ID, F.sha2("norm", 256).alias("form"))
+
+
 def exact_groups(nodes: DataFrame) -> DataFrame:
-    """Every normal form with copies: how many there are, the first of them, and the pairs they stand for."""
-    groups = nodes.where("norm != ''").groupBy("norm").agg(F.count(F.lit(1)).alias("copies"), F.min(ID).alias("first_id"))
+    """Every normal form with copies, by its digest: how many there are, the first of them, and the pairs they stand for."""
+    groups = _forms(nodes).groupBy("form").agg(F.count(F.lit(1)).alias("copies"), F.min(ID).alias("first_id"))
     return groups.where("copies > 1").withColumn("pairs", F.expr("copies * (copies - 1) div 2"))
 
 
@@ -53,66 +58,52 @@ def numbered_copies(nodes: DataFrame) -> DataFrame:
     copies are numbered within shards of their id's hash instead, and each
     shard starts where the shards before it end.
     """
-    shard = F.substring(F.sha1(F.col(ID).cast("binary")), 1, SHARD_DIGITS)
-    rows = nodes.where("norm != ''").withColumn("shard", shard)
-    in_form = Window.partitionBy("norm")
+    rows = _forms(nodes).withColumn("shard", F.substring(F.sha1(F.col(ID).cast("binary")), 1, SHARD_DIGITS))
+    in_form = Window.partitionBy("form")
+    before = in_form.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy("norm", "shard")
+        rows.groupBy("form", "shard")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("copies", F.sum("n").over(in_form))
-        .withColumn(
-            "start", F.coalesce(F.sum("n").over(in_form.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        )
+        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .where("copies > 1")
-        .select("norm", "shard", "start", "copies")
+        .select("form", "shard", "start")
     )
-    within = F.row_number().over(Window.partitionBy("norm", "shard").orderBy(ID))
-    return rows.join(starts, ["norm", "shard"]).withColumn("number", F.col("start") + within).drop("start", "shard")
+    within = F.row_number().over(Window.partitionBy("form", "shard").orderBy(ID))
+    numbered = rows.join(starts, ["form", "shard"]).withColumn("number", F.col("start") + within)
+    return numbered.select(ID, "form", "number")
 
 
 def _chunks(nodes: DataFrame, cap: int) -> DataFrame:
     """Runs of cap+1 copies, each collected into one short array."""
-    cell = F.struct("number", ID, "text")
     chunk = F.expr(f"(number - 1) div {cap + 1}")
     return (
         numbered_copies(nodes)
-        .groupBy("norm", chunk.alias("chunk"))
-        .agg(F.array_sort(F.collect_list(cell)).alias("members"))
+        .groupBy("form", chunk.alias("chunk"))
+        .agg(F.array_sort(F.collect_list(ID)).alias("members"))
     )
 
 
 def _pairs_within(chunks: DataFrame) -> DataFrame:
+    """All pairs of each run, smaller id first."""
     rest = lambda i: F.slice("members", i + 2, F.size("members"))
     both = F.flatten(
-        F.transform("members", lambda x, i: F.transform(rest(i), lambda y: F.struct(x.alias("x"), y.alias("y"))))
-    )
-    pair = chunks.select(F.explode(both).alias("p"))
-    return _as_pairs(
-        pair.select(
-            F.col(f"p.x.{ID}").alias("x"), F.col("p.x.text").alias("x_text"),
-            F.col(f"p.y.{ID}").alias("y"), F.col("p.y.text").alias("y_text"),
-            F.lit(EXACT_CONFIDENCE).alias("score"),
-        ),
-        EXACT,
+        F.transform("members", lambda a, i: F.transform(rest(i), lambda b: F.struct(a.alias("a_id"), b.alias("b_id"))))
     )
+    pairs = chunks.select(F.inline(both))
+    return pairs.select("a_id", "b_id", F.lit(EXACT_CONFIDENCE).alias("score"), F.lit(EXACT).alias("method"))
 
 
-def _as_pairs(frame: DataFrame, method: str) -> DataFrame:
-    """Smaller id first, values follow."""
-    a, b = canonical_order(F.col("x"), F.col("y"))
-    kept = F.col("x") < F.col("y")
-    return frame.select(
-        a.alias("a_id"),
-        b.alias("b_id"),
-        F.when(kept, F.col("x_text")).otherwise(F.col("y_text")).alias("a_value"),
-        F.when(kept, F.col("y_text")).otherwise(F.col("x_text")).alias("b_value"),
-        "score",
-        F.lit(method).alias("method"),
-    )
+def _with_confidence(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a_id", "b_id", F.round("score", 4).alias("confidence"), "method")
 
 
-def _with_confidence(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a_id", "b_id", "a_value", "b_value", F.round("score", 4).alias("confidence"), "method")
+def with_values(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs with the values of both ends. Looked up at the end, for the nodes in pairs only."""
+    for end in ("a", "b"):
+        value = nodes.select(F.col(ID).alias(f"{end}_id"), F.col("text").alias(f"{end}_value"))
+        pairs = pairs.join(value, f"{end}_id")
+    return pairs
 
 
 def exact_pairs(nodes: DataFrame, cap: int = PAIRS_PER_NODE) -> DataFrame:
@@ -139,12 +130,13 @@ def _values(nodes: DataFrame, block) -> DataFrame:
     return nodes.where("norm != ''").select(block(F.col("norm")).alias("block"), token_sort(F.col("text")).alias("text")).distinct()
 
 
-def _capacity(nodes: DataFrame, chunks: DataFrame, cap: int) -> DataFrame:
-    """Nodes that may take part in further pairs: all single values, and the last incomplete run of each group."""
-    members = chunks.select("norm", F.size("members").alias("size"), F.explode("members").alias("m"))
-    used = members.select(F.col(f"m.{ID}").alias(ID), (F.lit(cap + 1) - F.col("size")).alias("left"))
-    open_nodes = nodes.where("norm != ''").join(used, ID, "left")
-    return open_nodes.withColumn("left", F.coalesce("left", F.lit(cap))).where("left > 0")
+def _open_nodes(nodes: DataFrame, chunks: DataFrame, cap: int, block) -> DataFrame:
+    """Nodes with free places: all single values, and the last incomplete run of each group."""
+    used = chunks.select(F.explode("members").alias(ID), (F.lit(cap + 1) - F.size("members")).alias("left"))
+    free = nodes.where("norm != ''").join(used, ID, "left").withColumn("left", F.coalesce("left", F.lit(cap)))
+    return free.where("left > 0").select(
+        ID, "left", F.sha2("norm", 256).alias("form"), block(F.col("norm")).alias("block"), token_sort(F.col("text")).alias("sorted")
+    )
 
 
 def _accept(pairs: DataFrame, cap: int) -> DataFrame:
@@ -202,24 +194,17 @@ def _same_text(open_nodes: DataFrame) -> DataFrame:
 def _node_pairs(open_nodes: DataFrame, values: DataFrame) -> DataFrame:
     """Scored pairs of nodes for similar values. After the exact phase at most ``cap`` open nodes share a normal form."""
     def side(p):
-        return open_nodes.select("block", *[F.col(c).alias(f"{p}_{c}") for c in ("sorted", ID, "text", "norm", "left")])
+        return open_nodes.select("block", *[F.col(c).alias(f"{p}_{c}") for c in ("sorted", ID, "form", "left")])
 
     scored = values.select("block", F.col("a").alias("x_sorted"), F.col("b").alias("y_sorted"), "score")
     pairs = scored.join(side("x"), ["block", "x_sorted"]).join(side("y"), ["block", "y_sorted"])
     pairs = pairs.where((F.col("x_sorted") != F.col("y_sorted")) | (F.col(f"x_{ID}") < F.col(f"y_{ID}")))
     # equal forms that the exact phase refused had a full end already
-    pairs = pairs.where(F.col("x_norm") != F.col("y_norm"))
-    swapped = F.col(f"x_{ID}") > F.col(f"y_{ID}")
-    pick = lambda a, b: F.when(swapped, F.col(b)).otherwise(F.col(a))
-    return pairs.select(
-        pick(f"x_{ID}", f"y_{ID}").alias("a_id"),
-        pick(f"y_{ID}", f"x_{ID}").alias("b_id"),
-        pick("x_text", "y_text").alias("a_value"),
-        pick("y_text", "x_text").alias("b_value"),
-        pick("x_left", "y_left").alias("a_left"),
-        pick("y_left", "x_left").alias("b_left"),
-        "score",
-    )
+    pairs = pairs.where(F.col("x_form") != F.col("y_form"))
+    a, b = canonical_order(F.col(f"x_{ID}"), F.col(f"y_{ID}"))
+    kept = F.col(f"x_{ID}") < F.col(f"y_{ID}")
+    left = F.when(kept, F.col("x_left")).otherwise(F.col("y_left")), F.when(kept, F.col("y_left")).otherwise(F.col("x_left"))
+    return pairs.select(a.alias("a_id"), b.alias("b_id"), left[0].alias("a_left"), left[1].alias("b_left"), "score")
 
 
 def find_duplicates(
@@ -240,11 +225,8 @@ def find_duplicates(
     if cap < 1:
         raise ValueError("need cap >= 1")
     chunks = cut_lineage(_chunks(nodes, cap))
-    found = _pairs_within(chunks).select("a_id", "b_id", "a_value", "b_value", "score", "method")
-    open_nodes = _capacity(nodes, chunks, cap)
-    open_nodes = cut_lineage(
-        open_nodes.select(ID, "text", "norm", "left", block(F.col("norm")).alias("block"), token_sort(F.col("text")).alias("sorted"))
-    )
+    found = _pairs_within(chunks)
+    open_nodes = cut_lineage(_open_nodes(nodes, chunks, cap, block))
     for near in (True, False):
         values = open_nodes.select("block", F.col("sorted").alias("text")).distinct()
         if near:
@@ -252,7 +234,7 @@ def find_duplicates(
         else:
             similar = similar_pairs(values, review).where(~is_close(F.col("a"), F.col("b"), F.col("score")))
         taken = _accept(_node_pairs(open_nodes, similar), cap)
-        taken = cut_lineage(taken.select("a_id", "b_id", "a_value", "b_value", "score"))
+        taken = cut_lineage(taken.select("a_id", "b_id", "score"))
         found = found.unionByName(taken.withColumn("method", F.lit(FUZZY)))
         used = taken.select(F.explode(F.array("a_id", "b_id")).alias(ID)).groupBy(ID).agg(F.count(F.lit(1)).alias("used"))
         open_nodes = cut_lineage(
@@ -261,7 +243,7 @@ def find_duplicates(
             .drop("used")
             .where("left > 0")
         )
-    return bands(_with_confidence(found), review, high)
+    return bands(with_values(_with_confidence(found), nodes), review, high)
 
 
 def check_thresholds(review: float, high: float) -> None:

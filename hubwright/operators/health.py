@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hubwright.functions.values import ident_list, property_keys
 from hubwright.operators.digest import HUB_NODES, label_counts, rel_type_counts
 from hubwright.operators.graph import DST, ID, SRC, PropertyGraph, property_names, property_schema
+from hubwright.session import stage_table
 from hubwright.sources.tables import TableSpec
 
 TOP_HUBS = 5
@@ -28,14 +29,14 @@ def degrees(graph: PropertyGraph) -> DataFrame:
     """Edges at each node in either direction, a self-loop once, unlinked nodes 0.
 
     Nodes (weight 0) and edge ends (weight 1) go through one aggregation that is
-    reduced inside each task first, so there is one shuffle, no join and no hot key.
+    reduced inside each task first, so there is one shuffle, no join and no hot
+    key. Both ends come out of one scan of each edge table.
     """
     nodes = graph.all_nodes().select("label", ID, F.lit(0).alias("weight"), F.lit(True).alias("node"))
-    edges = graph.all_edges()
     loop = (F.col("from_label") == F.col("to_label")) & (F.col(SRC) == F.col(DST))
-    ends = edges.select(F.col("from_label").alias("label"), F.col(SRC).alias(ID)).unionByName(
-        edges.where(~loop).select(F.col("to_label").alias("label"), F.col(DST).alias(ID))
-    )
+    source = F.struct(F.col("from_label").alias("label"), F.col(SRC).alias(ID))
+    target = F.struct(F.col("to_label").alias("label"), F.col(DST).alias(ID))
+    ends = graph.all_edges().select(F.inline(F.when(loop, F.array(source)).otherwise(F.array(source, target))))
     everything = nodes.unionByName(ends.select("label", ID, F.lit(1).alias("weight"), F.lit(False).alias("node")))
     return (
         everything.groupBy("label", ID)
@@ -45,6 +46,11 @@ def degrees(graph: PropertyGraph) -> DataFrame:
     )
 
 
+def _degrees(graph: PropertyGraph, known: DataFrame | None) -> DataFrame:
+    """Degrees that were written before, for reports of several parts, or else a plan for them."""
+    return degrees(graph) if known is None else known
+
+
 def guarded(graph: PropertyGraph, max_nodes: int | None = None) -> tuple[PropertyGraph, DataFrame]:
     """Labels whose degrees to report, and the labels left out for having more nodes than ``max_nodes``.
 
@@ -58,15 +64,15 @@ def guarded(graph: PropertyGraph, max_nodes: int | None = None) -> tuple[Propert
     return PropertyGraph({k: v for k, v in graph.nodes.items() if k not in names}, graph.edges), skipped
 
 
-def top_degrees(graph: PropertyGraph, k: int = TOP_HUBS) -> DataFrame:
+def top_degrees(graph: PropertyGraph, k: int = TOP_HUBS, known: DataFrame | None = None) -> DataFrame:
     """The k nodes of highest degree per label; tasks keep k rows per label before the shuffle."""
     order = Window.partitionBy("label").orderBy(F.desc("degree"), ID)
-    return degrees(graph).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _degrees(graph, known).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_hubs(graph: PropertyGraph, k: int = TOP_HUBS) -> DataFrame:
+def top_hubs(graph: PropertyGraph, k: int = TOP_HUBS, known: DataFrame | None = None) -> DataFrame:
     """``top_degrees`` with what identifies each node."""
-    best = top_degrees(graph, k)
+    best = top_degrees(graph, k, known)
     named = []
     for label, frame in sorted(graph.nodes.items()):
         # k rows per label
@@ -76,9 +82,9 @@ def top_hubs(graph: PropertyGraph, k: int = TOP_HUBS) -> DataFrame:
     return reduce(DataFrame.unionByName, named)
 
 
-def orphans(graph: PropertyGraph) -> DataFrame:
+def orphans(graph: PropertyGraph, known: DataFrame | None = None) -> DataFrame:
     """Nodes without any edge, per label."""
-    return degrees(graph).groupBy("label").agg(F.count_if(F.col("degree") == 0).alias("orphans"))
+    return _degrees(graph, known).groupBy("label").agg(F.count_if(F.col("degree") == 0).alias("orphans"))
 
 
 def orphan_source_rows(spec: TableSpec, columns: Iterable[str]) -> DataFrame:
@@ -161,34 +167,37 @@ def missing_key_check(graph: PropertyGraph, declared: Iterable[str] = (), above:
     )
 
 
-def supernodes(graph: PropertyGraph, degree: int = SUPERNODE_DEGREE, max_nodes: int = HUB_NODES) -> DataFrame:
+def supernodes(
+    graph: PropertyGraph, degree: int = SUPERNODE_DEGREE, max_nodes: int = HUB_NODES, known: DataFrame | None = None
+) -> DataFrame:
     """Few-node labels with a hub so connected that it should rather be a label of its own."""
-    per_label = degrees(graph).groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.max("degree").alias("top_degree"))
+    per_label = _degrees(graph, known).groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.max("degree").alias("top_degree"))
     return per_label.where((F.col("nodes") <= max_nodes) & (F.col("top_degree") > degree))
 
 
-def degree_concentration(graph: PropertyGraph, k: int = TOP_HUBS) -> DataFrame:
+def degree_concentration(graph: PropertyGraph, k: int = TOP_HUBS, known: DataFrame | None = None) -> DataFrame:
     """Share of a label's edge ends that its k best connected nodes hold."""
-    every = degrees(graph).groupBy("label").agg(F.sum("degree").alias("all_ends"))
-    top = top_degrees(graph, k).groupBy("label").agg(F.sum("degree").alias("top_ends"))
+    every = _degrees(graph, known).groupBy("label").agg(F.sum("degree").alias("all_ends"))
+    top = top_degrees(graph, k, known).groupBy("label").agg(F.sum("degree").alias("top_ends"))
     return every.join(top, "label").where(F.col("all_ends") > 0).select(
         "label", "top_ends", "all_ends", F.round(F.col("top_ends") / F.col("all_ends"), 4).alias("share")
     )
 
 
 def health(graph: PropertyGraph, declared: Iterable[str] = (), max_nodes: int | None = None) -> dict[str, DataFrame]:
-    """The whole report, lazily: nothing runs until a part is read."""
+    """The whole report. Degrees are written once, as four parts read them; the parts themselves are lazy."""
     scanned, skipped = guarded(graph, max_nodes)
+    known = stage_table(degrees(scanned))
     return {
         "labels": label_counts(graph).orderBy(F.desc("count"), "label"),
         "relationship_types": rel_type_counts(graph).orderBy(F.desc("count"), "type"),
         "key_shapes": key_shapes(graph),
-        "top_hubs": top_hubs(scanned),
-        "orphans": orphans(scanned),
+        "top_hubs": top_hubs(scanned, known=known),
+        "orphans": orphans(scanned, known),
         "degree_scan_skipped": skipped,
         "generic_names": generic_names(graph),
         "mixed_key_shapes": mixed_key_shapes(graph),
         "missing_keys": missing_key_check(graph, declared),
-        "supernodes": supernodes(scanned),
-        "degree_concentration": degree_concentration(scanned),
+        "supernodes": supernodes(scanned, known=known),
+        "degree_concentration": degree_concentration(scanned, known=known),
     }

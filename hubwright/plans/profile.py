@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MAX_DISTINCT = 50
 MAX_RATIO = 0.1
@@ -22,14 +22,19 @@ def distinct_cap(row_count: int, max_distinct: int = MAX_DISTINCT, ratio: float
     return min(max_distinct, max(SMALL_TABLE_FLOOR, int(row_count * ratio)))
 
 
+def _short_form(text: Column) -> Column:
+    """The value itself up to 64 characters, a marked digest beyond; no short value looks like one."""
+    return F.when(F.length(text) <= 64, text).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact distinct counts (NULL ignored) of several columns in one job, with the row count.
 
     Every task reduces its rows to counted (column, value) pairs before the
     shuffle, so a frequent value costs one row per task. All values are compared
-    as text.
+    as text, long ones by their SHA-256, so that whole documents are not shuffled.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _short_form(F.col(f"`{c}`").cast("string")).alias("value")) for c in columns])
     return (
         df.select(F.inline(cells))
         .groupBy("column", "value")

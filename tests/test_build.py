@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hubwright.operators.build import build_graph, build_nodes, load_summary, skipped_null_endpoints, wipe_label
 from hubwright.operators.graph import union_by_name
 from hubwright.plans.model import infer_model
-from hubwright.session import cut_lineage
+from hubwright.session import stage_table
 from hubwright.sources.state import read_state, write_state
 from hubwright.sources.store import latest_version, load_saved_graph, save_graph
 from hubwright.functions.values import synthetic_key, to_graph_value
@@ -83,7 +83,7 @@ def test_copies_of_a_key_resolve_the_same_way_every_time(spark, shop):
 def test_equal_rows_without_key_become_one_node(spark, shop):
     spec = replace(shop["products"], df=shop["products"].df.unionByName(shop["products"].df), primary_key=())
     model = infer_model(spec)
-    plain, staged = build_graph([(spec, model)]), build_graph([(spec, model)], stage=cut_lineage)
+    plain, staged = build_graph([(spec, model)]), build_graph([(spec, model)], stage=stage_table)
     assert plain.node("Product").count() == 5
     assert rows(plain.node("Product")) == rows(staged.node("Product").select(*plain.node("Product").columns))
     for key in plain.edges:

@@ -21,7 +21,7 @@ def graph_of(shop, *names):
 
 
 def edges_only(spark, pairs, rel="R", label="N"):
-    frame = spark.createDataFrame(pairs, "src_id string, dst_id string")
+    frame = spark.createDataFrame(sorted(set(pairs)), "src_id string, dst_id string")
     ids = sorted({x for p in pairs for x in p})
     nodes = spark.createDataFrame([(i, "id") for i in ids], "_id string, _key string")
     return PropertyGraph({label: nodes}, {(label, rel, label): frame})

@@ -57,7 +57,7 @@ def test_a_hub_of_many_rows_is_counted_before_the_join(spark):
 def test_copies_are_numbered_within_shards(spark):
     nodes = dedupe.candidates(t.graph(spark, SF, ("documents",)).node("Document"), "text")
     text = plan(dedupe.numbered_copies(nodes))
-    assert "row_number() windowspecdefinition(norm" in text and "shard" in text
+    assert "row_number() windowspecdefinition(form" in text and "shard" in text
 
 
 def test_a_small_delta_does_not_shuffle_the_old_nodes(spark, orders):

@@ -14,7 +14,7 @@ from check import TABLES, rows_of  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES, TWINS = contract.queries(), contract.oracle_sql()
-WITHOUT_TWIN = {"verify_sample", "shortest_path_any_type", "dup_pairs_capped"}
+WITHOUT_TWIN = {"shortest_path_any_type", "dup_pairs_capped"}
 
 
 @pytest.fixture(scope="module")

@@ -429,7 +429,7 @@ def _capped_pairs(cap: int) -> str:
 
 @query(
     "exact_dup_groups",
-    """SELECT norm, count(*) AS copies, min(_id) AS first_id, count(*) * (count(*) - 1) // 2 AS pairs
+    """SELECT sha256(norm) AS form, count(*) AS copies, min(_id) AS first_id, count(*) * (count(*) - 1) // 2 AS pairs
        FROM (SELECT 'doc_id=' || doc_id AS _id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS norm FROM documents)
        WHERE norm <> '' GROUP BY norm HAVING count(*) > 1""",
 )
