@@ -16,7 +16,7 @@ from hubwright.functions.text import canonical_order, normalize_text, token_sort
 from hubwright.functions.values import to_text
 from hubwright.operators.graph import DST, EDGE_ENDS, ID, SRC, PropertyGraph
 from hubwright.operators.similarity import close_pairs, is_close, similar_pairs
-from hubwright.session import cut_lineage
+from hubwright.session import cut_lineage, stage_table
 
 SOURCE_TAG = "hubwright-dedupe"
 SAME_AS = "SAME_AS"
@@ -58,7 +58,9 @@ def numbered_copies(nodes: DataFrame) -> DataFrame:
     copies are numbered within shards of their id's hash instead, and each
     shard starts where the shards before it end.
     """
-    rows = _forms(nodes).withColumn("shard", F.substring(F.sha1(F.col(ID).cast("binary")), 1, SHARD_DIGITS))
+    # written once: both uses below would otherwise normalise all texts again
+    forms = stage_table(_forms(nodes))
+    rows = forms.withColumn("shard", F.substring(F.sha1(F.col(ID).cast("binary")), 1, SHARD_DIGITS))
     in_form = Window.partitionBy("form")
     before = in_form.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
