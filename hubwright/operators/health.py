@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hubwright.functions.values import ident_list, property_keys
 from hubwright.operators.digest import HUB_NODES, label_counts, rel_type_counts
 from hubwright.operators.graph import DST, ID, SRC, PropertyGraph, property_names, property_schema
-from hubwright.session import stage_table
+from hubwright.session import BROADCAST_ROWS, stage_table
 from hubwright.sources.tables import TableSpec
 
 TOP_HUBS = 5
@@ -75,8 +75,9 @@ def top_hubs(graph: PropertyGraph, k: int = TOP_HUBS, known: DataFrame | None =
     best = top_degrees(graph, k, known)
     named = []
     for label, frame in sorted(graph.nodes.items()):
-        # k rows per label
-        wanted = F.broadcast(best.where(F.col("label") == label))
+        wanted = best.where(F.col("label") == label)
+        if k <= BROADCAST_ROWS:  # the frame has at most k rows
+            wanted = F.broadcast(wanted)
         idents = frame.select(ID, ident_list(property_schema(frame)).alias("ident"))
         named.append(idents.join(wanted, ID).select("label", "rank", ID, "degree", "ident"))
     return reduce(DataFrame.unionByName, named)

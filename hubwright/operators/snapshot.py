@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from hubwright.functions.values import property_entries, truncate_value
 from hubwright.operators.graph import DST, ID, SRC, PropertyGraph, property_schema
 from hubwright.operators.health import degrees
-from hubwright.session import cut_lineage
+from hubwright.session import broadcast_if_small, cut_lineage
 
 MAX_NODES = 400
 MAX_EDGES = 1500
@@ -23,14 +23,13 @@ def snapshot_nodes(graph: PropertyGraph, max_nodes: int = MAX_NODES) -> DataFram
 
 
 def _edges_among(graph: PropertyGraph, kept: DataFrame) -> DataFrame:
-    # at most max_nodes rows, checked by the limit that made them
-    source = F.broadcast(kept.select(F.col("label").alias("from_label"), F.col(ID).alias(SRC)))
-    target = F.broadcast(kept.select(F.col("label").alias("to_label"), F.col(ID).alias(DST)))
+    source = broadcast_if_small(kept.select(F.col("label").alias("from_label"), F.col(ID).alias(SRC)))
+    target = broadcast_if_small(kept.select(F.col("label").alias("to_label"), F.col(ID).alias(DST)))
     return graph.all_edges().join(source, ["from_label", SRC], "left_semi").join(target, ["to_label", DST], "left_semi")
 
 
 def snapshot_edges(graph: PropertyGraph, kept: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """Edges with both ends kept, the first ``max_edges`` by their ends."""
+    """Edges with both ends kept, the first ``max_edges`` by their ends. ``kept`` should be written first."""
     columns = ["from_label", SRC, "type", "to_label", DST]
     return _edges_among(graph, kept).select(*columns).orderBy(*columns).limit(max_edges)
 
@@ -44,7 +43,7 @@ def snapshot_props(graph: PropertyGraph, kept: DataFrame, count: int = MAX_PROPE
     """The first few properties of each kept node, long values cut."""
     shown = []
     for label, frame in sorted(graph.nodes.items()):
-        wanted = F.broadcast(kept.where(F.col("label") == label).select("label", ID, "degree"))
+        wanted = broadcast_if_small(kept.where(F.col("label") == label).select("label", ID, "degree"))
         entries = F.slice(property_entries(property_schema(frame)), 1, count)
         short = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), truncate_value(e["value"]).alias("value")))
         shown.append(frame.join(wanted, ID).select("label", ID, "degree", short.alias("props")))
@@ -61,7 +60,7 @@ class Snapshot:
 
 def snapshot(graph: PropertyGraph, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> Snapshot:
     """The cut with its legend, totals, and a flag each for nodes and edges left out."""
-    # at most max_nodes rows, written once instead of ranking all degrees for each use
+    # written once instead of ranking all degrees for each use
     kept = cut_lineage(snapshot_nodes(graph, max_nodes))
     links = snapshot_edges(graph, kept, max_edges)
     total = graph.all_nodes().select(F.lit(1).alias("node"), F.lit(0).alias("edge"))

@@ -10,7 +10,7 @@ from hubwright.functions.values import node_id
 from hubwright.operators.build import keyed_rows
 from hubwright.operators.graph import DST, EDGE_ENDS, ID, KEY, SRC, PropertyGraph
 from hubwright.plans.model import JoinModel, Model
-from hubwright.session import cut_lineage
+from hubwright.session import broadcast_if_small, cut_lineage
 
 SAMPLE = 100
 
@@ -107,7 +107,7 @@ def verify_sample(df: DataFrame, graph: PropertyGraph, model: Model, n: int = SA
         keys = keys.limit(0)
     # written once, so that both uses see the same n rows
     picked = cut_lineage(keys.orderBy(F.rand(seed), *keys.columns).limit(n))
-    found = _graph_keys(graph, model).join(F.broadcast(picked), picked.columns, "left_semi").distinct()
+    found = _graph_keys(graph, model).join(broadcast_if_small(picked), picked.columns, "left_semi").distinct()
     marked = picked.join(found.withColumn("held", F.lit(True)), picked.columns, "left")
     return marked.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("held").isNull()).alias("missing"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 MAX_DISTINCT = 50
 MAX_RATIO = 0.1
 SMALL_TABLE_FLOOR = 20
+LARGEST_SCREENED = 1000
 
 PROFILE_SCHEMA = "column string, distinct_values bigint, row_count bigint"
 
@@ -60,12 +61,15 @@ def screen_columns(df: DataFrame, columns: Sequence[str], max_distinct: int, rat
 
     The sketch counts empty registers while few are taken, and n values fill at
     most n of its 4096 registers, so its estimate for n <= 50 never exceeds n by
-    a full unit: no column under the cap is lost here. What is left gets an exact count.
+    a full unit: no column under the cap is lost here. What is left gets an exact
+    count. Far higher caps leave the range in which that holds and are not screened.
     """
     sketches = [F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}") for i, c in enumerate(columns)]
     found = df.agg(F.count(F.lit(1)).alias("n"), *sketches).first()
     cap = distinct_cap(found["n"], max_distinct, ratio)
-    # margin of the register argument above, for caps other than the default too
+    if cap > LARGEST_SCREENED:
+        return found["n"], list(columns)
+    # n values in m registers are estimated as at most m*ln(m/(m-n)) < n + n*n/m
     limit = cap + 1 + cap * cap // 4096
     return found["n"], [c for i, c in enumerate(columns) if 0 < found[f"d{i}"] <= limit]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime SQL settings for skewed joins and right-sized shuffle partitions.
 RECOMMENDED_CONF = {
@@ -64,6 +64,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting that the frame has at most ``most`` rows; else leave the choice to Spark.
+
+    Give it a frame that was written before, or counting computes it once more.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write the frame as Parquet into the checkpoint folder and read it from there.
 

@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from hubwright.functions.text import indel_ratio, normalize_text, token_sort, within_reach
+from hubwright.functions.text import indel_ratio, indel_ratio_jvm, normalize_text, token_sort, within_reach
 from hubwright.operators import dedupe
 from hubwright.operators.build import build_graph
 from hubwright.operators.similarity import GramFilter, close_pairs, similar_pairs
@@ -58,9 +58,10 @@ def test_score_and_screen(spark):
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("score", indel_ratio("a", "b"))
     for t in (0.5, 0.7, 0.85, 0.9):
         df = df.withColumn(f"reach{int(t * 100)}", within_reach(F.col("a"), F.col("b"), t))
+    df = df.withColumn("jvm", indel_ratio_jvm(F.col("a"), F.col("b")))
     for r in df.collect():
         truth = score(r["a"], r["b"])
-        assert r["score"] == truth
+        assert r["score"] == truth == r["jvm"]
         for t in (0.5, 0.7, 0.85, 0.9):
             assert truth < t or r[f"reach{int(t * 100)}"]
 

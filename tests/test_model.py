@@ -63,6 +63,16 @@ def test_hubs_around_the_cap(spark, distinct, hub):
     assert found == ({"v": distinct, "flag": 2} if hub else {"flag": 2})
 
 
+def test_a_cap_too_high_to_screen(spark):
+    df = spark.range(10000).selectExpr("cast(id % 3000 as string) AS v", "cast(id as string) AS own")
+    assert rows(dimension_columns(df, max_distinct=5000, ratio=0.5)) == [("v", 3000, 10000)]
+
+
+def test_long_values_count_as_they_are(spark):
+    df = spark.range(300).selectExpr("concat(repeat('x', 100), id % 7) AS v", "if(id % 2 = 0, NULL, repeat('y', 64)) AS w")
+    assert rows(profile_columns(df)) == [("v", 7, 300), ("w", 1, 300)]
+
+
 def test_unique_column_is_no_hub(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "v string")
     assert rows(dimension_columns(df)) == []

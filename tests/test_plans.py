@@ -67,3 +67,16 @@ def test_a_small_delta_does_not_shuffle_the_old_nodes(spark, orders):
     old = build_nodes(spec.df, model, unique=True)
     delta = build_nodes(spec.df.where("o_orderdate >= '2001-07-31'"), model, unique=True)
     assert "BroadcastHashJoin" in plan(upsert_nodes(old, delta)) and "SortMergeJoin" not in plan(upsert_nodes(old, delta))
+
+
+def test_pairs_are_cut_to_the_cap_before_the_shuffle(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(plan(df))
+        return df.checkpoint()
+
+    monkeypatch.setattr(dedupe, "cut_lineage", noted)
+    people = spark.createDataFrame([(f"id={i}", f"Customer {i}") for i in range(6)], "_id string, name string")
+    assert dedupe.find_duplicates(dedupe.candidates(people, "name")).count() > 0
+    assert any("WindowGroupLimit" in p for p in plans)
