@@ -56,24 +56,21 @@ def label_properties(graph: PropertyGraph) -> DataFrame:
 def dimension_values(graph: PropertyGraph, max_nodes: int = HUB_NODES) -> DataFrame:
     """Sorted values of every label with at most ``max_nodes`` nodes.
 
-    Larger labels are filtered out before anything is collected into an array.
+    One node more than that is fetched per label: if it is there, the label is
+    too large, and no larger array is ever collected.
     """
     hubs = [(label, frame) for label, frame in sorted(graph.nodes.items()) if "value" in frame.columns]
     if not hubs:
         spark = next(iter(graph.nodes.values())).sparkSession
         return spark.createDataFrame([], "label string, values array<string>")
-    values = reduce(
-        DataFrame.unionByName,
-        [
-            frame.where(F.col("value").isNotNull()).select(
-                F.lit(label).alias("label"), to_text(F.col("value"), frame.schema["value"].dataType).alias("value")
-            )
-            for label, frame in hubs
-        ],
-    )
-    # one row per label, so never large
-    small = F.broadcast(label_counts(graph).where(F.col("count") <= max_nodes).select("label"))
-    return values.join(small, "label", "left_semi").groupBy("label").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    found = []
+    for label, frame in hubs:
+        value = to_text(F.col("value"), frame.schema["value"].dataType).alias("value")
+        first = frame.select(value).limit(max_nodes + 1)
+        listed = first.agg(F.count(F.lit(1)).alias("nodes"), F.array_sort(F.collect_list("value")).alias("values"))
+        small = (F.col("nodes") <= max_nodes) & (F.size("values") > 0)
+        found.append(listed.where(small).select(F.lit(label).alias("label"), "values"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def fingerprint(graph: PropertyGraph) -> DataFrame:

@@ -18,7 +18,7 @@ RECOMMENDED_CONF = {
 }
 
 
-def local_session(name: str = "hubwright", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(name: str = "hubwright", cores: int | str = "*", shuffle_partitions: int = 8, conf: dict[str, str] | None = None) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -30,7 +30,7 @@ def local_session(name: str = "hubwright", cores: int | str = "*", shuffle_parti
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in RECOMMENDED_CONF.items():
+    for key, value in {**RECOMMENDED_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -12,7 +12,8 @@ from hubwright.sources.tables import ForeignKey, TableSpec  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("hubwright-tests", cores=8, shuffle_partitions=4)
+    # tiny inputs: two tasks per stage are enough to have data meet across partitions
+    session = local_session("hubwright-tests", cores=8, shuffle_partitions=2, conf={"spark.default.parallelism": "2"})
     yield session
     session.stop()
 

@@ -74,6 +74,7 @@ def test_digest(shop):
     assert rows(found["dimension_values"].where("label = 'Status'")) == [("Status", ["cancelled", "pending", "shipped"])]
     assert dict(rows(found["properties"]))["Order"] == ["amount", "created_at", "id"]
     assert found["patterns"].first()["count"] == 60
+    assert {r["label"] for r in digest.dimension_values(graph_of(shop, "orders"), 4).collect()} == {"Status"}
     import hashlib
 
     text = "Customer:8|Order:60|Product:5|Status:3"
