@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from hubwright.llm import bpe
+from hubwright.llm import bpe, packing, simhash
 
 QUERIES = {
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op4_pack_best_fit": packing.op4_pack_best_fit,
+    "op5_simhash_components": simhash.op5_simhash_components,
 }
 
 TWINS: dict[str, str] = {}
