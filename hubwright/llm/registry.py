@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from hubwright.llm import bpe, packing, simhash
+from hubwright.llm import bpe, chat_format, exact_dedup, packing, simhash, url_filter
 
 QUERIES = {
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op4_pack_best_fit": packing.op4_pack_best_fit,
     "op5_simhash_components": simhash.op5_simhash_components,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_chat_format": chat_format.op7_chat_format,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
-TWINS: dict[str, str] = {}
+TWINS: dict[str, str] = {
+    "op6_url_filter": url_filter.OP6_SQL,
+    "op7_chat_format": chat_format.OP7_SQL,
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+}
