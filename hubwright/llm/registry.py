@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hubwright.llm import bpe, chat_format, exact_dedup, packing, simhash, url_filter
+from hubwright.llm import bpe, chat_format, exact_dedup, packing, secret_scan, sharding, simhash, url_filter
 
 QUERIES = {
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_external_shuffle": sharding.op9_external_shuffle,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 TWINS: dict[str, str] = {
