@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hubwright.llm import bpe, chat_format, exact_dedup, packing, quality, secret_scan, sharding, simhash, url_filter
+from hubwright.llm import ann, bpe, chat_format, exact_dedup, packing, quality, secret_scan, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_ann_posting_lists": ann.op2_ann_posting_lists,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op4_pack_best_fit": packing.op4_pack_best_fit,
     "op5_simhash_components": simhash.op5_simhash_components,
