@@ -100,7 +100,8 @@ def build_index(groups: DataFrame, directory: Directory, path: str) -> DataFrame
     chain = F.struct("text_sha256", "keep_id", "group_size")
     chained = placed.repartition("bucket").groupBy("bucket", "key").agg(F.sort_array(F.collect_list(chain)).alias("chain"))
     chained.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(path)
-    return spark.read.parquet(path)
+    # with its schema: an empty index has no file to read it from
+    return spark.read.schema(chained.schema).parquet(path)
 
 
 def lookup(rows: DataFrame, index: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ _PLACES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ENCO
 
 LEAST_CHARS = 20
 #: Level for strings of LEAST_CHARS; it falls in proportion to the length.
-LEVEL = 0.5
+LEVEL = 0.1
 BANDS = 8
 #: Bins per factor of ten of p-values, and their number.
 BINS_PER_TEN, BINS = 20, 400

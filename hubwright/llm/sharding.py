@@ -18,6 +18,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hubwright.llm.common import free_name, table
@@ -65,7 +66,7 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = SHARDS, seed: int
 
     def shuffle(rows: pa.Table) -> pa.Table:
         number = rows.column(bucket)[0].as_py()
-        rows = rows.take(pa.compute.sort_indices(rows, [(doc_id, "ascending"), (crc, "ascending")]))
+        rows = rows.take(pc.sort_indices(rows, [(doc_id, "ascending"), (crc, "ascending")]))
         order = np.arange(len(rows))
         np.random.default_rng([seed, number]).shuffle(order)  # Fisher-Yates
         shard, slot = cut(starts[number] + np.arange(len(rows)), total, shards)
