@@ -33,9 +33,11 @@ def _pairs_by_source(edges: DataFrame, node: str) -> DataFrame:
     return left.join(right, SRC).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
 
 
-def co_occurrence(graph: PropertyGraph, rel_type: str, k: int = 10, hot: int = HOT_SOURCE) -> DataFrame:
+def co_occurrence(
+    graph: PropertyGraph, rel_type: str, k: int = 10, hot: int = HOT_SOURCE, from_label: str | None = None, to_label: str | None = None
+) -> DataFrame:
     """The k pairs of targets that share the most sources: ``a``, ``b``, ``together``."""
-    edges = graph.edge(rel_type).select(SRC, DST)  # a graph holds one edge per pair of ends
+    edges = graph.edge(rel_type, from_label, to_label).select(SRC, DST)  # a graph holds one edge per pair of ends
     degree = edges.groupBy(SRC).agg(F.count(F.lit(1)).alias("degree"))
     hot_sources = cut_lineage(degree.where(F.col("degree") > hot).select(SRC))
     if hot_sources.isEmpty():

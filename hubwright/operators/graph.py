@@ -59,8 +59,12 @@ class PropertyGraph:
         return found
 
     def edge(self, rel_type: str, from_label: str | None = None, to_label: str | None = None) -> DataFrame:
-        """All edges of a type, as a rule one table."""
-        return union_by_name(self.edges[k] for k in self.edge_keys(rel_type, from_label, to_label))
+        """The edges of one pattern. A type that several pairs of labels share needs the labels, as an id is unique within its label only."""
+        keys = self.edge_keys(rel_type, from_label, to_label)
+        if len(keys) > 1:
+            found = ", ".join(f"({a})-[{t}]->({b})" for a, t, b in keys)
+            raise ValueError(f"{rel_type} is ambiguous, name its labels: {found}")
+        return self.edges[keys[0]]
 
     def all_nodes(self) -> DataFrame:
         return reduce(

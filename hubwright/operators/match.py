@@ -9,7 +9,6 @@ execution splits that side.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,10 +22,10 @@ def match(graph: PropertyGraph, label: str) -> DataFrame:
     return graph.node(label)
 
 
-def where_dimension(graph: PropertyGraph, label: str, rel_type: str, values: Sequence) -> DataFrame:
+def where_dimension(graph: PropertyGraph, label: str, rel_type: str, values: Sequence, target: str | None = None) -> DataFrame:
     """Nodes of a label linked to a hub with one of the given values."""
     ids = [f"value={str(v).lower() if isinstance(v, bool) else v}" for v in values]
-    linked = graph.edge(rel_type, label).where(F.col(DST).isin(ids)).select(F.col(SRC).alias(ID))
+    linked = graph.edge(rel_type, label, target).where(F.col(DST).isin(ids)).select(F.col(SRC).alias(ID))
     return graph.node(label).join(linked, ID, "left_semi")
 
 
@@ -54,7 +53,11 @@ def expand(
     from_label: str | None = None,
     to_label: str | None = None,
 ) -> DataFrame:
-    """One row per edge between a row's node (``on``) and a neighbour (``to``); edge properties follow."""
+    """One row per edge between a row's node (``on``) and a neighbour (``to``); edge properties follow.
+
+    The labels are those of the edge itself, whichever way it is read. They may be left out only
+    where one pair of labels has the type.
+    """
     steps = oriented(graph.edge(rel_type, from_label, to_label), direction, on, to)
     return frame.join(steps, on)
 
@@ -77,9 +80,11 @@ def count_per_target(graph: PropertyGraph, label: str, rel_type: str, target: st
     return named.select(prop, "row_count").orderBy(F.desc("row_count"), prop)
 
 
-def count_distinct_neighbors(graph: PropertyGraph, rel_type: str, by: str = DST, of: str = SRC) -> DataFrame:
+def count_distinct_neighbors(
+    graph: PropertyGraph, rel_type: str, by: str = DST, of: str = SRC, from_label: str | None = None, to_label: str | None = None
+) -> DataFrame:
     """Distinct nodes at one end of a type per node at the other."""
-    return graph.edge(rel_type).groupBy(by).agg(F.count_distinct(of).alias("neighbors"))
+    return graph.edge(rel_type, from_label, to_label).groupBy(by).agg(F.count_distinct(of).alias("neighbors"))
 
 
 def where_count(counts: DataFrame, column: str, above: int) -> DataFrame:
@@ -92,40 +97,71 @@ def top_k(frame: DataFrame, k: int, by: str, ties: Sequence[str]) -> DataFrame:
     return frame.orderBy(F.desc(by), *ties).limit(k)
 
 
-def busiest(graph: PropertyGraph, rel_type: str, k: int = 10, from_label: str | None = None) -> DataFrame:
+def busiest(
+    graph: PropertyGraph, rel_type: str, k: int = 10, from_label: str | None = None, to_label: str | None = None
+) -> DataFrame:
     """Targets with the most incoming edges of a type."""
-    degree = graph.edge(rel_type, from_label).groupBy(F.col(DST).alias("target_id")).agg(F.count(F.lit(1)).alias("degree"))
+    degree = graph.edge(rel_type, from_label, to_label).groupBy(F.col(DST).alias("target_id")).agg(F.count(F.lit(1)).alias("degree"))
     return top_k(degree, k, "degree", ["target_id"])
 
 
-def sum_edge_property(graph: PropertyGraph, rel_type: str, prop: str, k: int = 10, exact: str = "decimal(38,4)") -> DataFrame:
+def sum_edge_property(
+    graph: PropertyGraph,
+    rel_type: str,
+    prop: str,
+    k: int = 10,
+    exact: str | None = None,
+    from_label: str | None = None,
+    to_label: str | None = None,
+) -> DataFrame:
     """Sources with the largest total of a numeric edge property.
 
-    Summed as decimals, so the total does not depend on the order of tasks.
+    Summed in the property's own type. A sum of floating-point numbers depends in its last digits on the order of
+    tasks; with ``exact``, a decimal type whose scale holds the values, it does not.
     """
+    value = F.col(f"`{prop}`")
     totals = (
-        graph.edge(rel_type)
+        graph.edge(rel_type, from_label, to_label)
         .groupBy(F.col(SRC).alias("source_id"))
-        .agg(F.sum(F.col(f"`{prop}`").cast(exact)).cast("double").alias("total"))
+        .agg(F.sum(value.cast(exact) if exact else value).alias("total"))
     )
     return top_k(totals, k, "total", ["source_id"])
 
 
-def shared_neighbor_counts(graph: PropertyGraph, rel_type: str, k: int | None = 10) -> DataFrame:
+def shared_neighbor_counts(
+    graph: PropertyGraph, rel_type: str, k: int | None = 10, from_label: str | None = None, to_label: str | None = None
+) -> DataFrame:
     """How many pairs of rows share each hub: d rows make d*(d-1)/2 pairs, none of them is built."""
-    degree = graph.edge(rel_type).groupBy(F.col(DST).alias("hub_id")).agg(F.count(F.lit(1)).alias("rows"))
+    degree = graph.edge(rel_type, from_label, to_label).groupBy(F.col(DST).alias("hub_id")).agg(F.count(F.lit(1)).alias("rows"))
     pairs = degree.select("hub_id", F.expr("rows * (rows - 1) div 2").alias("pairs")).where("pairs > 0")
     return pairs if k is None else top_k(pairs, k, "pairs", ["hub_id"])
 
 
-def collect_two_hops(graph: PropertyGraph, first: str, second: str, value: str = "value") -> DataFrame:
-    """``(a)<-[first]-(x)-[second]->(b)``: the distinct values of b reached from each a, sorted."""
-    steps = graph.edge(first).select(SRC, F.col(DST).alias("start_id")).join(
-        graph.edge(second).select(SRC, F.col(DST).alias("end_id")), SRC
-    )
+def collect_two_hops(
+    graph: PropertyGraph,
+    first: str,
+    second: str,
+    value: str = "value",
+    label: str | None = None,
+    first_target: str | None = None,
+    second_target: str | None = None,
+) -> DataFrame:
+    """``(a)<-[first]-(x)-[second]->(b)``: the distinct values of b reached from each a, sorted.
+
+    ``label`` is that of x. One array per a holds the values, so b is meant to be a hub with a limited set of them.
+    """
+    pairs = [
+        (one, two)
+        for one in graph.edge_keys(first, label, first_target)
+        for two in graph.edge_keys(second, label, second_target)
+        if one[0] == two[0]
+    ]
+    if len(pairs) != 1:
+        raise ValueError(f"{len(pairs)} patterns have {first} and {second} from one label; name the labels")
+    one, two = pairs[0]
+    steps = graph.edges[one].select(SRC, F.col(DST).alias("start_id")).join(graph.edges[two].select(SRC, F.col(DST).alias("end_id")), SRC)
     reached = steps.select("start_id", "end_id").distinct()
-    targets = {key[2] for key in graph.edge_keys(second)}
-    names = reduce(DataFrame.unionByName, [graph.node(t).select(F.col(ID).alias("end_id"), value) for t in sorted(targets)])
+    names = graph.node(two[2]).select(F.col(ID).alias("end_id"), value)
     return reached.join(names, "end_id").groupBy("start_id").agg(F.array_sort(F.collect_set(value)).alias("reached"))
 
 

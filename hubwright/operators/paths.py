@@ -6,24 +6,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from hubwright.operators.graph import ID, PropertyGraph
 from hubwright.operators.match import oriented
-from hubwright.session import cut_lineage
-
-MAX_HOPS = 6
+from hubwright.session import cut_lineage, stage_table
 
 
 def expand_path(
     graph: PropertyGraph,
     frame: DataFrame,
     rel_type: str,
-    shortest: int = 1,
-    longest: int = MAX_HOPS,
+    shortest: int,
+    longest: int,
     direction: str = "out",
     from_label: str | None = None,
     to_label: str | None = None,
 ) -> DataFrame:
     """``-[:R*shortest..longest]->`` from the nodes of a frame: ``start_id``, ``end_id``, ``hops``, ``nodes``.
 
-    An edge occurs once per path, a node may recur. Stops when no path grows.
+    An edge occurs once per path, a node may recur. Stops when no path grows. All paths are returned, so
+    their number is bounded by ``longest`` alone; walks that go on beyond it end there.
     """
     if not 0 <= shortest <= longest:
         raise ValueError("need 0 <= shortest <= longest")
@@ -63,51 +62,70 @@ def expand_path(
     return result.select("start_id", "end_id", "hops", "nodes")
 
 
-def shortest_path(graph: PropertyGraph, source: tuple[str, str], target: tuple[str, str], longest: int = MAX_HOPS) -> DataFrame:
-    """A shortest path of any edge types and directions between two (label, id) nodes, or no row.
+FOUND, NONE, LONGER = "found", "none", "longer"
+_PATH = "array<struct<label:string,id:string,via:string>>"
+
+
+def shortest_path(graph: PropertyGraph, source: tuple[str, str], target: tuple[str, str], longest: int) -> DataFrame:
+    """A shortest path of any edge types and directions between two (label, id) nodes: one row with ``status``.
+
+    ``found`` has ``nodes``, ``types`` and ``hops``; ``none`` says that there is no path, ``longer`` that there
+    may be one of more than ``longest`` hops. Of several shortest paths the smallest by its nodes is returned.
 
-    Breadth first with one frame per level. Each level is first joined with
-    the target's own neighbours, a small filtered scan, and only if that finds
-    nothing is it expanded: the last and largest level is never built. Of
-    several shortest paths the smallest by its nodes is returned.
+    The edges are written once, each both ways. Two frontiers, one from each end, are joined with them,
+    always the smaller one; a frontier keeps one path per node and drops nodes that its side has reached before. They
+    meet halfway, so a hub's fan-out is met from the other side instead of being walked to the end.
     """
+    spark = next(iter(graph.nodes.values())).sparkSession
+    at = lambda node: F.struct(F.lit(node[0]).alias("label"), F.lit(node[1]).alias("id"))
+    first = F.array(F.struct(F.lit(source[0]).alias("label"), F.lit(source[1]).alias("id"), F.lit("").alias("via")))
+    # from the source: the nodes so far; from the target: the nodes still to come
+    level = {
+        "source": spark.range(1).select(at(source).alias("at"), first.cast(_PATH).alias("path")),
+        "target": spark.range(1).select(at(target).alias("at"), F.array().cast(_PATH).alias("path")),
+    }
+    if source == target:
+        return _as_path(level["source"])
+    steps = stage_table(_both_ways(graph))
+    size, reached, none = {"source": 1, "target": 1}, {side: level[side].select("at") for side in level}, NONE
+    for hop in range(1, longest + 1):
+        side = min(size, key=size.get)
+        level[side] = cut_lineage(next_level(level[side], steps, side).join(reached[side], "at", "left_anti"))
+        size[side] = level[side].count()
+        if not size[side]:
+            break
+        there = level["target"].select("at", F.col("path").alias("rest"))
+        met = level["source"].join(there, "at").select("at", F.concat("path", "rest").alias("path"))
+        met = cut_lineage(met.agg(F.min("path").alias("path")).where("path is not null"))
+        if not met.isEmpty():
+            return _as_path(met)
+        reached[side] = reached[side].unionByName(level[side].select("at"))
+    else:
+        none = LONGER
+    return spark.createDataFrame([(none, None, None, None)], _as_path(level["source"]).schema.simpleString()[len("struct<") : -1])
+
+
+def _both_ways(graph: PropertyGraph) -> DataFrame:
     edges = graph.all_edges()
     near = F.struct(F.col("from_label").alias("label"), F.col("src_id").alias("id"))
     far = F.struct(F.col("to_label").alias("label"), F.col("dst_id").alias("id"))
     along = edges.select(near.alias("at"), far.alias("next"), "type")
-    steps = along.unionByName(edges.select(far.alias("at"), near.alias("next"), "type"))
-    start = F.struct(F.lit(source[0]).alias("label"), F.lit(source[1]).alias("id"))
-    goal = F.struct(F.lit(target[0]).alias("label"), F.lit(target[1]).alias("id"))
-    spark = edges.sparkSession
-    # a path is its nodes and types in turn, so that comparing arrays compares paths
-    schema = "array<struct<label:string,id:string,via:string>>"
-    first = F.array(F.struct(F.lit(source[0]).alias("label"), F.lit(source[1]).alias("id"), F.lit("").alias("via")))
-    level = spark.range(1).select(start.alias("at"), first.cast(schema).alias("path"))
-    if source == target:
-        return _as_path(level)
-    last_steps = cut_lineage(steps.where(F.col("next") == goal).select("at", "next", "type").distinct())
-    visited = level.select("at")
+    return along.unionByName(edges.select(far.alias("at"), near.alias("next"), "type"))
 
-    def grown(paths: DataFrame, moves: DataFrame) -> DataFrame:
-        step = F.struct(F.col("next.label").alias("label"), F.col("next.id").alias("id"), F.col("type").alias("via"))
-        longer = paths.join(moves, "at").select(F.col("next").alias("at"), F.array_append("path", step).alias("path"))
-        return longer.groupBy("at").agg(F.min("path").alias("path"))
 
-    for hop in range(1, longest + 1):
-        done = cut_lineage(grown(level, last_steps))
-        if not done.isEmpty():
-            return _as_path(done)
-        if hop == longest:
-            break
-        level = cut_lineage(grown(level, steps.join(visited.select(F.col("at").alias("next")), "next", "left_anti")))
-        if level.isEmpty():
-            break
-        visited = visited.unionByName(level.select("at"))
-    return _as_path(level.limit(0))
+def next_level(level: DataFrame, steps: DataFrame, side: str) -> DataFrame:
+    """The nodes one step further from their side, each with its smallest path."""
+    node = "next" if side == "source" else "at"
+    step = F.struct(F.col(f"{node}.label").alias("label"), F.col(f"{node}.id").alias("id"), F.col("type").alias("via"))
+    longer = F.array_append("path", step) if side == "source" else F.concat(F.array(step), "path")
+    # steps lie both ways, so those into a node are those out of it read backwards
+    moved = level.join(steps, "at").select(F.col("next"), longer.cast(_PATH).alias("path"))
+    return moved.groupBy(F.col("next").alias("at")).agg(F.min("path").alias("path"))
 
 
 def _as_path(paths: DataFrame) -> DataFrame:
     return paths.select(
+        F.lit(FOUND).alias("status"),
         F.transform("path", lambda p: F.struct(p["label"].alias("label"), p["id"].alias("id"))).alias("nodes"),
         F.transform(F.slice("path", F.lit(2), F.size("path")), lambda p: p["via"]).alias("types"),
         (F.size("path") - 1).alias("hops"),

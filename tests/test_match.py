@@ -10,10 +10,13 @@ from hubwright.operators import match
 from hubwright.operators.build import build_graph
 from hubwright.operators.cooccurrence import co_occurrence
 from hubwright.operators.graph import PropertyGraph
-from hubwright.operators.paths import expand_path, shortest_path
+from hubwright.operators.match import busiest, collect_two_hops, count_distinct_neighbors, expand, shared_neighbor_counts, sum_edge_property
+from hubwright.operators.paths import _both_ways, expand_path, next_level, shortest_path
 from hubwright.operators.results import as_json, bounded, bounded_rows, nodes_as_result, paths_as_result
 from hubwright.plans.model import infer_model
 from hubwright.plans.starter import starter_frames
+from hubwright.session import stage_table
+from hubwright.sources.tables import TableSpec
 
 
 def graph_of(shop, *names):
@@ -101,19 +104,19 @@ def test_cycles_end(spark):
 
 def test_shortest_path(shop):
     graph = graph_of(shop, "employees")
-    found = shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=9")).first()
+    found = shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=9"), 6).first()
     assert [n["id"] for n in found["nodes"]] == ["id=5", "id=4", "id=2", "id=1", "id=3", "id=7", "id=9"]
     assert found["hops"] == 6
-    assert shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=10")).count() == 0
-    assert shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=9"), longest=5).count() == 0
-    assert shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=5")).first()["hops"] == 0
-    assert shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=6")).first()["hops"] == 2
+    assert shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=10"), 9).first()["status"] == "none"
+    assert shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=9"), longest=5).first()["status"] == "longer"
+    assert shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=5"), 6).first()["hops"] == 0
+    assert shortest_path(graph, ("Employee", "id=5"), ("Employee", "id=6"), 6).first()["hops"] == 2
 
 
 def test_shortest_path_takes_the_smallest(shop):
     graph = graph_of(shop, "orders")
     # orders 1 and 31 share product and status: two routes of two steps
-    found = shortest_path(graph, ("Order", "id=1"), ("Order", "id=31"))
+    found = shortest_path(graph, ("Order", "id=1"), ("Order", "id=31"), 6)
     assert rows(paths_as_result(found)) == [(["Order:id=1", "HAS_PRODUCT", "Product:value=Product 2", "HAS_PRODUCT", "Order:id=31"],)]
 
 
@@ -141,3 +144,42 @@ def test_starters(shop):
     assert frames["first_paths"]().count() == 100 and frames["total"]().count() == 10
     lone = graph_of(shop, "shipments")
     assert set(starter_frames(lone, infer_model(shop["shipments"]))) == {"first_nodes"}
+
+
+def test_types_shared_by_labels_need_them(spark):
+    """Orders and tickets with ids of one name, both with a status: 10 edges of one type, 6 of them orders'."""
+    def table(name, n, values, extra):
+        data = [(i, values[i % len(values)], *[e[i % len(e)] for e in extra]) for i in range(n)]
+        return TableSpec(name, spark.createDataFrame(data, "id int, status string" + ", prio string" * len(extra)), ("id",))
+
+    orders, tickets = table("orders", 6, ["open", "shut"], []), table("tickets", 4, ["open", "open", "open", "shut"], [["lo", "hi", "lo", "lo"]])
+    graph = build_graph([(s, infer_model(s)) for s in (orders, tickets)])
+    for ask in (
+        lambda: expand(graph, graph.node("Order"), "HAS_STATUS"),
+        lambda: shared_neighbor_counts(graph, "HAS_STATUS"),
+        lambda: count_distinct_neighbors(graph, "HAS_STATUS"),
+        lambda: busiest(graph, "HAS_STATUS"),
+        lambda: co_occurrence(graph, "HAS_STATUS"),
+    ):
+        with pytest.raises(ValueError, match="ambiguous"):
+            ask()
+    assert expand(graph, graph.node("Order"), "HAS_STATUS", from_label="Order").count() == 6
+    assert rows(shared_neighbor_counts(graph, "HAS_STATUS", from_label="Order")) == [("value=open", 3), ("value=shut", 3)]
+    assert rows(starter_frames(graph, infer_model(orders))["sharing"]()) == [("value=open", 3), ("value=shut", 3)]
+    reached = collect_two_hops(graph, "HAS_STATUS", "HAS_PRIO")
+    assert rows(reached) == [("value=open", ["hi", "lo"]), ("value=shut", ["lo"])]
+    assert rows(busiest(graph, "HAS_STATUS", from_label="Ticket")) == [("value=open", 3), ("value=shut", 1)]
+
+
+def test_sums_keep_small_values(spark):
+    edges = spark.createDataFrame([("a", "x", 0.00004), ("a", "y", 0.00004)], "src_id string, dst_id string, w double")
+    graph = PropertyGraph({}, {("A", "R", "B"): edges})
+    assert sum_edge_property(graph, "R", "w").first()["total"] == pytest.approx(0.00008)
+
+
+def test_a_hop_reads_written_steps_only(shop):
+    graph = graph_of(shop, "orders")
+    steps = stage_table(_both_ways(graph))
+    level = steps.limit(1).select("at", F.array().cast("array<struct<label:string,id:string,via:string>>").alias("path"))
+    plan = next_level(level, steps, "source")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and "Anti" not in plan and plan.count("Relation [") == 2

@@ -14,7 +14,7 @@ from check import TABLES, rows_of  # noqa: E402
 from workloads.registry import QUERIES, TWINS  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_TWIN = {"shortest_path_any_type", "dup_pairs_capped"}
+WITHOUT_TWIN = {"dup_pairs_capped"}
 
 
 @pytest.fixture(scope="module")
