@@ -53,32 +53,6 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def indel_ratio_jvm(a: Column, b: Column) -> Column:
-    """The same score without Python workers: the table of the common subsequence, line by line.
-
-    For short strings; each step interprets an expression, where the Arrow
-    function handles a whole line at once.
-    """
-
-    def characters(text: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: i > 0)
-        return F.transform(places, lambda i: F.substring(text, i, F.lit(1)))
-
-    def next_line(line: Column, char: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.length(b)), lambda i: i > 0)
-
-        def cell(row: Column, j: Column) -> Column:
-            best = F.greatest(F.element_at(row, -1), F.element_at(line, j + 1))
-            return F.array_append(row, F.when(F.substring(b, j, F.lit(1)) == char, F.element_at(line, j) + 1).otherwise(best))
-
-        return F.aggregate(places, F.array(F.lit(0)), cell)
-
-    start = F.array_repeat(F.lit(0), F.length(b) + 1)
-    common = F.aggregate(characters(a), start, next_line, lambda line: F.element_at(line, -1))
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * common / total)
-
-
 def within_reach(a: Column, b: Column, threshold: float) -> Column:
     """Lossless JVM-side screen for ``indel_ratio(a, b) >= threshold``.
 

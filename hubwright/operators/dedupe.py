@@ -1,11 +1,11 @@
 """Near-duplicate nodes as reviewable SAME_AS edges.
 
-A cheap phase pairs nodes whose values are equal after normalisation, a second
-phase pairs similar values within blocks of the first normalised character.
-Each node takes part in at most ``cap`` pairs over both phases; better pairs go
-first (exact ones, then those within two edits, then the rest, each by score and
-the ids' hashes), and the result is the one a sequential greedy pass in that order gives,
-found in parallel.
+Nodes whose values are equal after normalisation are copies of the first of them: ``exact_members``
+names that for each, linear in the nodes whatever a group's size. A second phase finds similar values.
+
+With a ``cap`` each node takes part in at most so many pairs over both phases, better ones
+first: copies, then pairs by falling score, equal scores by an MD5 digest of both ids.
+The result is the one a sequential greedy pass in that order gives, found in parallel.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hubwright.functions.text import canonical_order, normalize_text, token_sort
 from hubwright.functions.values import to_text
 from hubwright.operators.graph import DST, EDGE_ENDS, ID, SRC, PropertyGraph
-from hubwright.operators.similarity import close_pairs, is_close, similar_pairs
+from hubwright.operators.similarity import similar_pairs
 from hubwright.session import cut_lineage, stage_table
 
 SOURCE_TAG = "hubwright-dedupe"
@@ -23,7 +23,6 @@ SAME_AS = "SAME_AS"
 PENDING = "pending"
 STATUSES = (PENDING, "confirmed", "rejected")
 
-PAIRS_PER_NODE = 3
 REVIEW = 0.85
 HIGH = 0.95
 EXACT_CONFIDENCE = 0.99
@@ -33,7 +32,7 @@ FUZZY = "fuzzy-token-sort"
 SHARD_DIGITS = 3  # hex digits of the id's hash: 4096 shards for the copies of one value
 
 
-def candidates(frame: DataFrame, prop: str, keep_unicode: bool = False) -> DataFrame:
+def candidates(frame: DataFrame, prop: str, keep_unicode: bool = True) -> DataFrame:
     """Nodes that have the property: ``_id``, its text and its normal form. All of them, not a first few thousand."""
     text = to_text(F.col(f"`{prop}`"), frame.schema[prop].dataType)
     named = frame.where(F.col(f"`{prop}`").isNotNull()).select(ID, text.alias("text"))
@@ -51,6 +50,19 @@ def exact_groups(nodes: DataFrame) -> DataFrame:
     return groups.where("copies > 1").withColumn("pairs", F.expr("copies * (copies - 1) div 2"))
 
 
+def exact_members(nodes: DataFrame) -> DataFrame:
+    """Every copy of a value with its leader, the first of them: ``_id``, ``leader_id``. A leader leads itself; single values are left out."""
+    forms = stage_table(_forms(nodes))
+    leaders = forms.groupBy("form").agg(F.count(F.lit(1)).alias("copies"), F.min(ID).alias("leader_id")).where("copies > 1")
+    return forms.join(leaders, "form").select(ID, "leader_id")
+
+
+def member_pairs(nodes: DataFrame) -> DataFrame:
+    """Each copy paired with its leader: star edges that link all copies of a value."""
+    stars = exact_members(nodes).where(F.col(ID) != F.col("leader_id"))
+    return stars.select(F.col("leader_id").alias("a_id"), F.col(ID).alias("b_id"), F.lit(EXACT_CONFIDENCE).alias("confidence"), F.lit(EXACT).alias("method"))
+
+
 def numbered_copies(nodes: DataFrame) -> DataFrame:
     """Number the copies of each normal form from 1, in order of (shard, id); single values are left out.
 
@@ -102,13 +114,15 @@ def _with_confidence(pairs: DataFrame) -> DataFrame:
 
 def with_values(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs with the values of both ends. Looked up at the end, for the nodes in pairs only."""
+    ids = pairs.select(F.explode(F.array("a_id", "b_id")).alias(ID)).distinct()
+    nodes = nodes.join(ids, ID, "left_semi")
     for end in ("a", "b"):
         value = nodes.select(F.col(ID).alias(f"{end}_id"), F.col("text").alias(f"{end}_value"))
         pairs = pairs.join(value, f"{end}_id")
     return pairs
 
 
-def exact_pairs(nodes: DataFrame, cap: int = PAIRS_PER_NODE) -> DataFrame:
+def exact_pairs(nodes: DataFrame, cap: int) -> DataFrame:
     """Pairs of equal normal form with at most ``cap`` per node.
 
     A greedy pass over a group pairs off its first cap+1 members completely,
@@ -123,8 +137,15 @@ def first_character(norm):
     return F.substring(norm, 1, 1)
 
 
-def value_pairs(nodes: DataFrame, threshold: float = REVIEW, block=first_character) -> DataFrame:
-    """Similar pairs of distinct token-sorted values within a block, uncapped: ``a``, ``b``, ``score``."""
+def one_block(norm):
+    return F.lit("")
+
+
+def value_pairs(nodes: DataFrame, threshold: float = REVIEW, block=one_block) -> DataFrame:
+    """Similar pairs of distinct token-sorted values, uncapped: ``block``, ``a``, ``b``, ``score``.
+
+    A ``block``, such as ``first_character``, confines pairs to values that share it.
+    """
     return similar_pairs(_values(nodes, block), threshold)
 
 
@@ -132,13 +153,18 @@ def _values(nodes: DataFrame, block) -> DataFrame:
     return nodes.where("norm != ''").select(block(F.col("norm")).alias("block"), token_sort(F.col("text")).alias("text")).distinct()
 
 
+def _words(text):
+    return F.unhex(F.md5(text))
+
+
 def _open_nodes(nodes: DataFrame, chunks: DataFrame, cap: int, block) -> DataFrame:
-    """Nodes with free places: all single values, and the last incomplete run of each group."""
+    """Nodes with free places: all single values, and the last incomplete run of each group. Values as digests."""
     used = chunks.select(F.explode("members").alias(ID), (F.lit(cap + 1) - F.size("members")).alias("left"))
-    free = nodes.where("norm != ''").join(used, ID, "left").withColumn("left", F.coalesce("left", F.lit(cap)))
-    return free.where("left > 0").select(
-        ID, "left", F.sha2("norm", 256).alias("form"), block(F.col("norm")).alias("block"), token_sort(F.col("text")).alias("sorted")
+    free = nodes.where("norm != ''").select(
+        ID, _words("norm").alias("form"), block(F.col("norm")).alias("block"), _words(token_sort(F.col("text"))).alias("words")
     )
+    free = free.join(used, ID, "left").withColumn("left", F.coalesce("left", F.lit(cap)))
+    return free.where("left > 0").select(ID, "left", "form", "block", "words")
 
 
 def _accept(pairs: DataFrame, cap: int) -> DataFrame:
@@ -146,19 +172,18 @@ def _accept(pairs: DataFrame, cap: int) -> DataFrame:
 
     A pair that ranks within the free places at both of its ends cannot be
     displaced by any other, so all such pairs are taken at once. The best pair
-    is always one of them, so every round makes progress. Equal scores go by the
-    hashes of both ids: in order of the ids themselves a chain of neighbouring
-    values would be settled one pair per round.
+    is always one of them, so every round makes progress. Equal scores go by a
+    digest of the pair, which is as good as a random order: in order of the ids a chain of
+    neighbouring values would be settled one pair per round.
     """
-    hashes = F.xxhash64("a_id"), F.xxhash64("b_id")
-    pairs = pairs.withColumn("first", F.least(*hashes)).withColumn("second", F.greatest(*hashes))
+    pairs = pairs.withColumn("lot", F.md5(F.concat_ws("|", "a_id", "b_id").cast("binary")))
     accepted, rounds = None, 0
     rest = cut_lineage(pairs)
     while not rest.isEmpty():
         rounds += 1
         both = [F.struct(F.col(f"{end}_id").alias("end"), F.col(f"{end}_left").alias("left")) for end in ("a", "b")]
-        ends = rest.select("a_id", "b_id", "score", "first", "second", F.inline(F.array(*both)))
-        order = Window.partitionBy("end").orderBy(F.desc("score"), "first", "second", "a_id", "b_id")
+        ends = rest.select("a_id", "b_id", "score", "lot", F.inline(F.array(*both)))
+        order = Window.partitionBy("end").orderBy(F.desc("score"), "lot", "a_id", "b_id")
         # the constant bound lets every task drop all but cap rows per node before the shuffle
         ranked = ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
         chosen = (
@@ -186,57 +211,76 @@ def _accept(pairs: DataFrame, cap: int) -> DataFrame:
     return accepted if accepted is not None else pairs.limit(0)
 
 
-def _same_text(open_nodes: DataFrame) -> DataFrame:
-    """Open nodes of one token-sorted value: the words of the value in another order."""
-    return open_nodes.groupBy("block", "sorted").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "block", F.col("sorted").alias("a"), F.col("sorted").alias("b"), F.lit(1.0).alias("score")
-    )
+def _with_places(pairs: DataFrame, score) -> DataFrame:
+    """Pairs of nodes x and y as scored pairs with free places, smaller id first."""
+    kept = F.col(f"x_{ID}") < F.col(f"y_{ID}")
+    a, b = canonical_order(F.col(f"x_{ID}"), F.col(f"y_{ID}"))
+    places = F.when(kept, F.col("x_left")).otherwise(F.col("y_left")), F.when(kept, F.col("y_left")).otherwise(F.col("x_left"))
+    return pairs.select(a.alias("a_id"), b.alias("b_id"), places[0].alias("a_left"), places[1].alias("b_left"), score.alias("score"))
+
+
+def _same_words(open_nodes: DataFrame, cap: int) -> DataFrame:
+    """Pairs of nodes that hold the same words in another order, each with its next ``2 * cap + 2`` by the ids' digests.
+
+    As many as there are nodes. Each node fills up within that window unless its group ends.
+    """
+    window = 2 * cap + 2
+    order = Window.partitionBy("block", "words").orderBy(F.md5(F.col(ID).cast("binary")), ID)
+    numbered = open_nodes.withColumn("number", F.row_number().over(order) - 1)
+    run = F.expr(f"number div {window}")
+    x = numbered.withColumn("run", F.explode(F.array(run, run + 1)))
+    y = numbered.withColumn("run", run)
+    names = [ID, "form", "left", "number"]
+    keys = ["block", "words", "run"]
+    met = x.select(*keys, *[F.col(c).alias(f"x_{c}") for c in names]).join(y.select(*keys, *[F.col(c).alias(f"y_{c}") for c in names]), keys)
+    ahead = F.col("y_number") - F.col("x_number")
+    met = met.where((ahead > 0) & (ahead <= window) & (F.col("x_form") != F.col("y_form")))
+    return _with_places(met, F.lit(1.0))
 
 
 def _node_pairs(open_nodes: DataFrame, values: DataFrame) -> DataFrame:
-    """Scored pairs of nodes for similar values. After the exact phase at most ``cap`` open nodes share a normal form."""
-    def side(p):
-        return open_nodes.select("block", *[F.col(c).alias(f"{p}_{c}") for c in ("sorted", ID, "form", "left")])
-
-    scored = values.select("block", F.col("a").alias("x_sorted"), F.col("b").alias("y_sorted"), "score")
-    pairs = scored.join(side("x"), ["block", "x_sorted"]).join(side("y"), ["block", "y_sorted"])
-    pairs = pairs.where((F.col("x_sorted") != F.col("y_sorted")) | (F.col(f"x_{ID}") < F.col(f"y_{ID}")))
-    # equal forms that the exact phase refused had a full end already
+    """Scored pairs of open nodes for similar values."""
+    pairs = values.select("block", _words("a").alias("x_words"), _words("b").alias("y_words"), "score")
+    for end in ("x", "y"):
+        nodes = open_nodes.select("block", F.col("words").alias(f"{end}_words"), *[F.col(c).alias(f"{end}_{c}") for c in (ID, "form", "left")])
+        pairs = pairs.join(nodes, ["block", f"{end}_words"])
     pairs = pairs.where(F.col("x_form") != F.col("y_form"))
-    a, b = canonical_order(F.col(f"x_{ID}"), F.col(f"y_{ID}"))
-    kept = F.col(f"x_{ID}") < F.col(f"y_{ID}")
-    left = F.when(kept, F.col("x_left")).otherwise(F.col("y_left")), F.when(kept, F.col("y_left")).otherwise(F.col("x_left"))
-    return pairs.select(a.alias("a_id"), b.alias("b_id"), left[0].alias("a_left"), left[1].alias("b_left"), "score")
+    return _with_places(pairs, F.col("score"))
+
+
+def score_bands(review: float) -> list[float]:
+    """Falling lower ends of score bands, the last one ``review``."""
+    steps = [t / 100 for t in range(95, 0, -5) if t / 100 > review]
+    return [*steps, review]
 
 
-def find_duplicates(
-    nodes: DataFrame,
-    review: float = REVIEW,
-    high: float = HIGH,
-    cap: int = PAIRS_PER_NODE,
-    block=first_character,
-) -> DataFrame:
+def find_duplicates(nodes: DataFrame, review: float = REVIEW, high: float = HIGH, cap: int | None = None, block=one_block) -> DataFrame:
     """Pairs of both phases with confidence, method and band. Writes nothing; see ``same_as_upsert``.
 
-    The fuzzy phase first takes pairs within two insertions or deletions, drops
-    nodes that are full, and then takes the other pairs. Dense groups of values
-    fill up in the first step, whose work is bounded by the pairs' alphabet, so
-    that only sparse values reach the wider search.
+    Without a ``cap`` every copy is paired with its leader, and similar values are paired through the first node of each.
+    With one, scores are gone through in falling bands: all pairs of a band are taken greedily,
+    full nodes are dropped, and the next band is searched among the rest.
     """
     check_thresholds(review, high)
+    if cap is None:
+        return bands(with_values(member_pairs(nodes).unionByName(_leading_pairs(nodes, review, block)), nodes), review, high)
     if cap < 1:
         raise ValueError("need cap >= 1")
     chunks = cut_lineage(_chunks(nodes, cap))
     found = _pairs_within(chunks)
     open_nodes = cut_lineage(_open_nodes(nodes, chunks, cap, block))
-    for near in (True, False):
-        values = open_nodes.select("block", F.col("sorted").alias("text")).distinct()
-        if near:
-            similar = close_pairs(values, review).unionByName(_same_text(open_nodes))
+    values = stage_table(_values(nodes, block).withColumn("words", _words("text")))
+    above = None
+    for lowest in [None, *score_bands(review)]:
+        if lowest is None:
+            pairs = _same_words(open_nodes, cap)
         else:
-            similar = similar_pairs(values, review).where(~is_close(F.col("a"), F.col("b"), F.col("score")))
-        taken = _accept(_node_pairs(open_nodes, similar), cap)
-        taken = cut_lineage(taken.select("a_id", "b_id", "score"))
+            rest = values.join(open_nodes.select("block", "words").distinct(), ["block", "words"], "left_semi")
+            similar = similar_pairs(rest.select("block", "text"), lowest)
+            # pairs above were settled by the bands before
+            pairs = _node_pairs(open_nodes, similar if above is None else similar.where(F.col("score") < above))
+            above = lowest
+        taken = cut_lineage(_accept(pairs, cap).select("a_id", "b_id", "score"))
         found = found.unionByName(taken.withColumn("method", F.lit(FUZZY)))
         used = taken.select(F.explode(F.array("a_id", "b_id")).alias(ID)).groupBy(ID).agg(F.count(F.lit(1)).alias("used"))
         open_nodes = cut_lineage(
@@ -248,9 +292,26 @@ def find_duplicates(
     return bands(with_values(_with_confidence(found), nodes), review, high)
 
 
+def _leading_pairs(nodes: DataFrame, review: float, block) -> DataFrame:
+    """Similar values paired through the first node of each; nodes of the same words in another order through the first of all."""
+    named = nodes.where("norm != ''").select(
+        ID, _words("norm").alias("form"), block(F.col("norm")).alias("block"), _words(token_sort(F.col("text"))).alias("words")
+    )
+    forms = named.groupBy("block", "words", "form").agg(F.min(ID).alias(ID))
+    forms = stage_table(forms.withColumn("first", F.min(ID).over(Window.partitionBy("block", "words"))))
+    same = forms.where(F.col(ID) != F.col("first")).select(F.col("first").alias("a_id"), F.col(ID).alias("b_id"), F.lit(1.0).alias("score"))
+    pairs = value_pairs(nodes, review, block).select("block", _words("a").alias("x"), _words("b").alias("y"), "score")
+    for end in ("x", "y"):
+        first = forms.where(F.col(ID) == F.col("first")).select("block", F.col("words").alias(end), F.col(ID).alias(f"{end}_id"))
+        pairs = pairs.join(first, ["block", end])
+    a, b = canonical_order(F.col("x_id"), F.col("y_id"))
+    similar = pairs.where("x_id != y_id").groupBy(a.alias("a_id"), b.alias("b_id")).agg(F.max("score").alias("score"))
+    return _with_confidence(same.unionByName(similar).withColumn("method", F.lit(FUZZY)))
+
+
 def check_thresholds(review: float, high: float) -> None:
     if not 0 < review <= high <= 1:
-        raise ValueError("need 0 < review <= high <= 1")
+        raise ValueError(f"thresholds have to rise from above 0 to at most 1: review {review}, high {high}")
 
 
 def bands(pairs: DataFrame, review: float = REVIEW, high: float = HIGH) -> DataFrame:

@@ -3,12 +3,16 @@
 Two strings of similarity t or more differ in few insertions and deletions, and
 each of those destroys at most q of a string's q-grams. So a bounded number of a
 string's grams can be missing from its partner, and if all grams are put in one
-global order, rare ones first, the first few of both strings must contain the
-same two grams. Pairs are therefore joined on pairs of rare grams instead of
-being compared within whole blocks. Frequent grams, such as a prefix that all
+global order, rare ones first, the first few of both strings must have two grams in
+common. Strings are joined on single grams of these prefixes and bands of length, and
+pairs with two common ones are compared. Frequent grams, such as a prefix that all
 values share, are the last to be used as keys. Nothing is lost: the order only
 affects speed.
 
+A string makes as many key rows as its prefix has grams, so work grows with its length and
+not with the square. Key rows hold digests, not texts; the texts are fetched for the pairs
+that are left.
+
 Strings too short for that guarantee are joined on single characters, with
 which any two similar strings have at least one in common.
 """
@@ -18,15 +22,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hubwright.functions.text import indel_ratio, within_reach
-from hubwright.session import cut_lineage
+from hubwright.session import stage_table
 
 FREQUENT_GRAMS = 10_000  # grams whose frequency is known to the order; a few hundred kB to broadcast
 EPS = 1e-9
-SEPARATOR = "\u0002"
-SHORT_TEXT = 40  # longest string whose two-character deletions are all listed
+SCREENED = 200  # longest string that the JVM's edit distance screens before scoring; its time grows with the square
 
 
 @dataclass(frozen=True)
@@ -76,46 +79,37 @@ def _grams(text: Column, q: int) -> Column:
     return F.when(F.length(text) >= q, F.transform(places, lambda i: F.substring(text, i, F.lit(q))))
 
 
-def _ordered_grams(values: DataFrame, q: int) -> DataFrame:
-    """Each string with its grams, rare ones first; repeats of a gram are numbered apart."""
-    grams = values.select("block", "text", F.posexplode(_grams(F.col("text"), q)).alias("place", "gram"))
-    frequent = (
-        grams.groupBy("gram").agg(F.count(F.lit(1)).alias("uses")).orderBy(F.desc("uses"), "gram").limit(FREQUENT_GRAMS)
-    )
+def _keyed(values: DataFrame, gram_filter: GramFilter) -> DataFrame:
+    """One row per gram of a string's deciding prefix: block, digest, length, gram. Repeats of a gram are numbered apart."""
+    grams = values.select("block", "digest", F.length("text").alias("length"), F.posexplode(_grams(F.col("text"), gram_filter.q)).alias("place", "gram"))
+    frequent = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("uses")).orderBy(F.desc("uses"), "gram").limit(FREQUENT_GRAMS)
     # size bounded by the limit above
     known = grams.join(F.broadcast(frequent), "gram", "left")
-    cell = F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), F.col("gram"), F.col("place"))
-    sorted_cells = known.groupBy("block", "text").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    names = F.transform("cells", lambda c: c["gram"])
-    numbered = F.transform(
-        names, lambda gram, i: F.concat(gram, F.lit("\u0001"), (i - F.array_position(names, gram) + 1).cast("string"))
-    )
-    return sorted_cells.select("block", "text", numbered.alias("grams"))
+    string = ["block", "digest"]
+    repeat = F.row_number().over(Window.partitionBy(*string, "gram").orderBy("place"))
+    rank = F.row_number().over(Window.partitionBy(*string).orderBy(F.coalesce("uses", F.lit(0)), "gram", "repeat"))
+    # one shuffle serves both windows
+    ranked = known.repartition(*string).withColumn("repeat", repeat).withColumn("rank", rank)
+    deciding = ranked.where(F.col("rank") <= gram_filter.prefix_length(F.col("length")))
+    return deciding.select(*string, "length", F.concat_ws("\u0001", "gram", "repeat").alias("gram"))
 
 
-def _keyed(values: DataFrame, gram_filter: GramFilter) -> DataFrame:
-    """One row per join key of a string: single grams, or pairs of them, from its deciding prefix."""
-    prefix = _ordered_grams(values, gram_filter.q).select(
-        "block",
-        "text",
-        F.slice("grams", F.lit(1), gram_filter.prefix_length(F.length("text"))).alias("prefix"),
-    )
-    if gram_filter.shared == 1:
-        keys = F.col("prefix")
-    else:
-        rest = lambda i: F.slice("prefix", i + 2, F.size("prefix"))
-        keys = F.flatten(F.transform("prefix", lambda g, i: F.transform(rest(i), lambda h: F.concat(g, F.lit(SEPARATOR), h))))
-    return prefix.select("block", "text", "prefix", F.explode(keys).alias("key"))
+def _band(length: Column, threshold: float) -> Column:
+    """Similar strings lie in one band of lengths or in two neighbouring ones."""
+    widest = max((2 - threshold) / threshold, 1 + 1e-6)
+    return F.floor(F.log(length.cast("double")) / math.log(widest) + 1e-9).cast("int")
 
 
 def _joined(keyed: DataFrame, gram_filter: GramFilter) -> DataFrame:
-    """Candidate pairs, each once: only the first common key of a pair counts."""
-    left = keyed.select("block", "key", F.col("text").alias("a"), F.col("prefix").alias("pa"))
-    right = keyed.select("block", "key", F.col("text").alias("b"), F.col("prefix").alias("pb"))
-    total = F.length("a") + F.length("b")
-    close = 2.0 * F.least(F.length("a"), F.length("b")) >= gram_filter.threshold * total - EPS
-    first_common = F.array_join(F.slice(F.array_intersect("pa", "pb"), 1, gram_filter.shared), SEPARATOR) == F.col("key")
-    return left.join(right, ["block", "key"]).where((F.col("a") < F.col("b")) & close & first_common).select("block", "a", "b")
+    """Candidate pairs of digests, each once, with enough common grams: block, a (not longer than b), b."""
+    band = _band(F.col("length"), gram_filter.threshold)
+    shorter = keyed.select("block", "gram", F.explode(F.array(band, band + 1)).alias("band"), F.col("digest").alias("a"), F.col("length").alias("la"))
+    longer = keyed.select("block", "gram", band.alias("band"), F.col("digest").alias("b"), F.col("length").alias("lb"))
+    near = 2.0 * F.col("la") >= gram_filter.threshold * (F.col("la") + F.col("lb")) - EPS
+    once = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
+    met = shorter.join(longer, ["block", "gram", "band"]).where(once & near)
+    common = met.groupBy("block", "a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("la").alias("la"))
+    return common.where(F.col("common") >= gram_filter.shared).select("block", "a", "b", "la")
 
 
 def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
@@ -125,68 +119,21 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     """
     if not 0 < threshold <= 1:
         raise ValueError("need 0 < threshold <= 1")
-    values = values.where(F.length("text") > 0)
+    values = stage_table(values.where(F.length("text") > 0).select("block", "text", F.unhex(F.md5("text")).alias("digest")))
     main = GramFilter.of(threshold)
     short = GramFilter.for_short(threshold)
     limit = main.too_short
     # partners of a short string are at most this long
     reach = math.floor(limit * (2 - threshold) / threshold + EPS)
-    long_keys = cut_lineage(_keyed(values.where(F.length("text") > limit), main))
-    short_keys = cut_lineage(_keyed(values.where(F.length("text") <= reach), short))
-    pairs = _joined(long_keys, main).unionByName(
-        _joined(short_keys, short).where(F.least(F.length("a"), F.length("b")) <= limit)
-    )
-    near = pairs.where(within_reach(F.col("a"), F.col("b"), threshold))
-    return near.withColumn("score", indel_ratio("a", "b")).where(F.col("score") >= threshold)
-
-
-def _without(text: Column, place: Column) -> Column:
-    return F.concat(F.substring(text, F.lit(1), place - 1), F.substring(text, place + 1, F.length(text)))
-
-
-def close_pairs(values: DataFrame, threshold: float) -> DataFrame:
-    """Pairs within two insertions or deletions, for strings of at most 40 characters: ``block``, ``a``, ``b``, ``score``.
-
-    Strings are joined on what remains of them after one deletion each, or after
-    none and up to two. A key's group holds only strings that differ in those
-    characters, so its size is bounded by the alphabet and not by the table.
-    The length of the key is the common subsequence, so nothing is left to score.
-    """
-    short = values.where((F.length("text") > 0) & (F.length("text") <= SHORT_TEXT))
-    text = F.col("text")
-    places = F.sequence(F.lit(1), F.length(text))
-    once = F.array_distinct(F.transform(places, lambda i: _without(text, i)))
-    whole = short.select("block", "text", F.col("text").alias("key"))
-    less_one = short.select("block", "text", F.explode(once).alias("key"))
-    # a second deletion at or after the place of the first one reaches every pair of places
-    twice = F.array_distinct(
-        F.flatten(
-            F.transform(
-                places,
-                lambda i: F.transform(
-                    F.filter(places, lambda j: (j >= i) & (j < F.length(text))), lambda j: _without(_without(text, i), j)
-                ),
-            )
-        )
-    )
-    # only strings for which there is one two characters shorter; at most 40 lengths per block
-    lengths = short.select("block", (F.length("text") + 2).alias("size")).distinct()
-    sized = short.withColumn("size", F.length("text")).join(lengths, ["block", "size"], "left_semi")
-    less_two = sized.select("block", "text", F.explode(twice).alias("key"))
-
-    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
-        left = x.select("block", "key", F.col("text").alias("x"))
-        right = y.select("block", "key", F.col("text").alias("y"))
-        common = 2.0 * F.length("key") / (F.length("x") + F.length("y"))
-        pair = left.join(right, ["block", "key"]).where(F.col("x") != F.col("y"))
-        return pair.select("block", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), common.alias("score"))
-
-    one_each = meet(less_one, less_one).unionByName(meet(whole, less_one)).unionByName(meet(whole, less_two))
-    near = one_each.where(F.col("score") >= threshold)
-    return near.groupBy("block", "a", "b").agg(F.max("score").alias("score"))
-
-
-def is_close(a: Column, b: Column, score: Column) -> Column:
-    """Whether ``close_pairs`` covers a pair of this score."""
-    total = F.length(a) + F.length(b)
-    return (F.greatest(F.length(a), F.length(b)) <= SHORT_TEXT) & (F.round((1 - score) * total) <= 2)
+    pairs = _joined(stage_table(_keyed(values.where(F.length("text") > limit), main)), main)
+    if limit:
+        small = stage_table(_keyed(values.where(F.length("text") <= reach), short))
+        pairs = pairs.unionByName(_joined(small, short).where(F.col("la") <= limit))
+    for end in ("a", "b"):
+        text = values.select("block", F.col("digest").alias(end), F.col("text").alias(f"{end}_text"))
+        pairs = pairs.join(text, ["block", end])
+    x, y = F.col("a_text"), F.col("b_text")
+    # above that length only the length is screened, which the join has done
+    near = pairs.where((F.greatest(F.length(x), F.length(y)) > SCREENED) | within_reach(x, y, threshold))
+    scored = near.select("block", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), indel_ratio(x, y).alias("score"))
+    return scored.where(F.col("score") >= threshold)

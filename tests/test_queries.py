@@ -14,7 +14,6 @@ from check import TABLES, rows_of  # noqa: E402
 from workloads.registry import QUERIES, TWINS  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_TWIN = {"dup_pairs_capped"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def con():
 
 
 def test_twins_belong_to_queries():
-    assert set(QUERIES) - set(TWINS) == WITHOUT_TWIN and set(TWINS) <= set(QUERIES)
+    assert set(QUERIES) == set(TWINS)
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))

@@ -432,9 +432,11 @@ def _documents(spark, sf):
     return dedupe.candidates(t.graph(spark, sf, ("documents",)).node("Document"), "text")
 
 
-_COPIES = """copies AS (
+_NORM = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+_COPIES = f"""copies AS (
     SELECT _id, norm, row_number() OVER (PARTITION BY norm ORDER BY substr(sha1(_id), 1, 3), _id) AS number
-    FROM (SELECT 'doc_id=' || doc_id AS _id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS norm FROM documents)
+    FROM (SELECT 'doc_id=' || doc_id AS _id, {_NORM.format("text")} AS norm FROM documents)
     WHERE norm <> '')"""
 
 
@@ -445,8 +447,8 @@ def _capped_pairs(cap: int) -> str:
 
 @query(
     "exact_dup_groups",
-    """SELECT sha256(norm) AS form, count(*) AS copies, min(_id) AS first_id, count(*) * (count(*) - 1) // 2 AS pairs
-       FROM (SELECT 'doc_id=' || doc_id AS _id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS norm FROM documents)
+    f"""SELECT sha256(norm) AS form, count(*) AS copies, min(_id) AS first_id, count(*) * (count(*) - 1) // 2 AS pairs
+       FROM (SELECT 'doc_id=' || doc_id AS _id, {_NORM.format("text")} AS norm FROM documents)
        WHERE norm <> '' GROUP BY norm HAVING count(*) > 1""",
 )
 def _(spark, sf):
@@ -458,7 +460,15 @@ def _(spark, sf):
     f"WITH {_COPIES} SELECT a_id, b_id, 0.99::DOUBLE AS confidence, 'exact-normalized' AS method FROM ({_capped_pairs(3)})",
 )
 def _(spark, sf):
-    return dedupe.exact_pairs(_documents(spark, sf)).select("a_id", "b_id", "confidence", "method")
+    return dedupe.exact_pairs(_documents(spark, sf), cap=3).select("a_id", "b_id", "confidence", "method")
+
+
+_STARS = "stars AS (SELECT _id, leader_id FROM (SELECT _id, min(_id) OVER (PARTITION BY norm) AS leader_id, count(*) OVER (PARTITION BY norm) AS n FROM copies) WHERE n > 1)"
+
+
+@query("exact_dup_members", f"WITH {_COPIES}, {_STARS} SELECT _id, leader_id FROM stars")
+def _(spark, sf):
+    return dedupe.exact_members(_documents(spark, sf))
 
 
 @query("exact_dup_capped", f"WITH {_COPIES} SELECT a_id, b_id FROM ({_capped_pairs(1)})")
@@ -467,8 +477,7 @@ def _(spark, sf):
 
 
 _NAME_PAIRS = f"""names AS (
-    SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g')[1] AS block, {tokens_sorted('p_name')} AS text
-    FROM part WHERE regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') <> ''),
+    SELECT DISTINCT '' AS block, {tokens_sorted('p_name')} AS text FROM part WHERE {_NORM.format("p_name")} <> ''),
   scored AS (
     SELECT block, a, b, {ratio('a', 'b')} AS score FROM (
       SELECT x.block, x.text AS a, y.text AS b FROM names x JOIN names y ON x.block = y.block AND x.text < y.text))"""
@@ -491,17 +500,38 @@ def _(spark, sf):
     return dedupe.bands(pairs, 0.7, 0.73)
 
 
-@query("dup_pairs_capped")
+# all pairs, best first, one recursion step each: a pair is taken while both ends have places left
+@query(
+    "dup_pairs_capped",
+    f"""WITH RECURSIVE nodes AS (
+      SELECT _id, {tokens_sorted('name')} AS text, norm, CAST(row_number() OVER (ORDER BY _id) AS INTEGER) AS n
+      FROM (SELECT 's_suppkey=' || s_suppkey AS _id, s_name AS name, {_NORM.format("s_name")} AS norm FROM supplier) WHERE norm <> ''),
+    scored AS (
+      SELECT a_id, b_id, xn, yn, {ratio('a', 'b')} AS score FROM (
+        SELECT x._id AS a_id, y._id AS b_id, x.n AS xn, y.n AS yn, x.text AS a, y.text AS b FROM nodes x JOIN nodes y ON x._id < y._id AND x.norm <> y.norm)),
+    ranked AS (
+      SELECT *, row_number() OVER (ORDER BY score DESC, md5(a_id || '|' || b_id), a_id, b_id) AS r
+      FROM scored WHERE score >= 0.85),
+    greedy(r, places, taken) AS (
+      SELECT CAST(0 AS BIGINT), list_transform(range((SELECT count(*) FROM nodes)), lambda x: 3), false
+      UNION ALL
+      SELECT p.r, CASE WHEN places[xn] > 0 AND places[yn] > 0 THEN list_transform(places, lambda x, i: CASE WHEN i = xn OR i = yn THEN x - 1 ELSE x END) ELSE places END,
+             places[xn] > 0 AND places[yn] > 0
+      FROM greedy JOIN ranked p ON p.r = greedy.r + 1)
+    SELECT a_id, b_id, round(score, 4) AS confidence, CASE WHEN round(score, 4) >= 0.95 THEN 'merge_candidate' ELSE 'needs_review' END AS band
+    FROM ranked JOIN greedy USING (r) WHERE taken""",
+)
 def _(spark, sf):
     suppliers = dedupe.candidates(t.graph(spark, sf, ("supplier",)).node("Supplier"), "s_name")
-    return dedupe.find_duplicates(suppliers)
+    return dedupe.find_duplicates(suppliers, cap=3).select("a_id", "b_id", "confidence", "band")
 
 
 def _reviewed(spark, sf) -> PropertyGraph:
     """Documents with a user's own SAME_AS edges, found pairs, and decisions on the pairs of a first run."""
     graph = t.graph(spark, sf, ("documents",))
     nodes = dedupe.candidates(graph.node("Document"), "text")
-    first = dedupe.exact_pairs(nodes, cap=1)
+    found = dedupe.member_pairs(nodes)
+    first = found.groupBy("a_id").agg(F.min("b_id").alias("b_id"), F.first("confidence").alias("confidence"), F.first("method").alias("method"))
     own = first.select(
         F.col("a_id").alias(SRC), F.col("b_id").alias(DST), F.lit("manual").alias("source"), F.lit(1.0).alias("confidence"),
         F.lit("by hand").alias("method"), F.lit("agreed").alias("status"), F.lit("text").alias("property"),
@@ -509,10 +539,11 @@ def _reviewed(spark, sf) -> PropertyGraph:
     graph = graph.with_edges(("Document", dedupe.SAME_AS, "Document"), own)
     graph = dedupe.same_as_upsert(graph, "Document", first, "text")
     graph = dedupe.set_status(graph, "Document", first.select("a_id", "b_id", F.lit("confirmed").alias("status")))
-    return dedupe.same_as_upsert(graph, "Document", dedupe.exact_pairs(nodes), "text")
+    return dedupe.same_as_upsert(graph, "Document", found, "text")
 
 
-_REVIEWED = f"""WITH {_COPIES}, first AS ({_capped_pairs(1)}), found AS ({_capped_pairs(3)}),
+_REVIEWED = f"""WITH {_COPIES}, {_STARS}, found AS (SELECT leader_id AS a_id, _id AS b_id FROM stars WHERE _id <> leader_id),
+  first AS (SELECT a_id, min(b_id) AS b_id FROM found GROUP BY a_id),
   same_as AS (
     SELECT a_id AS src_id, b_id AS dst_id, 'manual' AS source, 1.0::DOUBLE AS confidence, 'agreed' AS status FROM first
     UNION ALL SELECT a_id, b_id, '{dedupe.SOURCE_TAG}', 0.99::DOUBLE,
