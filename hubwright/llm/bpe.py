@@ -20,7 +20,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hubwright.llm.common import hex_digest, or_empty, table
+from hubwright.llm.common import hex_digest, or_empty, table, values
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -80,18 +80,18 @@ def encode_text(text: str, coder: tiktoken.Encoding) -> np.ndarray:
 
 
 def _encoded(texts: pa.Array, coder: tiktoken.Encoding) -> pa.ListArray:
-    ids = [None if t is None else encode_text(t, coder) for t in texts.to_pylist()]
+    ids = [None if t is None else encode_text(t, coder) for t in values(texts)]
     sizes = np.fromiter((0 if i is None else len(i) for i in ids), np.int64, len(ids))
-    values = np.concatenate([np.zeros(0, np.uint32), *(i for i in ids if i is not None)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.uint32), *(i for i in ids if i is not None)]).astype(np.int32)
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(values), mask=pa.array([i is None for i in ids], pa.bool_()))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([i is None for i in ids], pa.bool_()))
 
 
 def _decoded(arrays: pa.ListArray, coder: tiktoken.Encoding) -> pa.Array:
-    values, offsets = arrays.values.to_numpy(zero_copy_only=False), arrays.offsets.to_numpy()
+    flat, offsets = arrays.values.to_numpy(zero_copy_only=False), arrays.offsets.to_numpy()
     known = arrays.is_valid().to_numpy(zero_copy_only=False)
     return pa.array(
-        [coder.decode_bytes(values[a:b].tolist()) if k else None for a, b, k in zip(offsets[:-1], offsets[1:], known)], pa.binary()
+        [coder.decode_bytes(flat[a:b].tolist()) if k else None for a, b, k in zip(offsets[:-1], offsets[1:], known)], pa.binary()
     )
 
 

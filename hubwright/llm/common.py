@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -14,6 +17,11 @@ def or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def values(column: pa.Array) -> Iterator:
+    """The values of an Arrow column one by one, so that a batch of long texts is not held twice."""
+    return (v.as_py() for v in column)
+
+
 def free_name(wanted: str, taken: list[str]) -> str:
     """A column name for internal use that does not clash with the input's columns."""
     lower = {t.lower() for t in taken}

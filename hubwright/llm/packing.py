@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from hubwright.llm import bpe
-from hubwright.llm.common import or_empty, table
+from hubwright.llm.common import or_empty, table, values
 from hubwright.session import stage_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,7 +93,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None
         encode, close = coder(tokenizer_path, ranks_path), np.asarray([end], "<u4")
         for batch in batches:
             owner, numbers, ids = [], [], []
-            for row, t in enumerate(batch.column(1).to_pylist()):
+            for row, t in enumerate(values(batch.column(1))):
                 data = np.concatenate([encode(t), close])
                 for start in range(0, len(data), window):
                     piece = data[start : start + window]

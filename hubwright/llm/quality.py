@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hubwright.llm.common import or_empty, table
+from hubwright.llm.common import or_empty, table, values
 
 #: Documents on which the scorer is fitted, on average; the only bound on what a fit reads.
 FIT_DOCS = 4096
@@ -37,7 +37,7 @@ REJECT_BELOW = 1 / 3
 FEATURES = 1 << 14
 #: Words that the share of a feature is smoothed by: a few words prove little.
 SMOOTHING = 12
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 #: The largest share of good documents on which a labeller is taken to vote bad.
 FALSE_ALARMS = 0.01
@@ -215,7 +215,7 @@ def _mapped(docs: DataFrame, keys: list[str], text: str, columns: dict[str, tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [each(t) for t in batch.column(len(keys)).to_pylist()]
+            made = [each(t) for t in values(batch.column(len(keys)))]
             arrays = [pa.array([row[i] for row in made], kind) for i, (_, kind) in enumerate(columns.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *arrays], [*keys, *columns])
 
@@ -240,7 +240,7 @@ class Model:
 
         @F.arrow_udf("boolean")
         def run(texts: pa.Array) -> pa.Array:
-            return pa.array([self.judge(t)[3] for t in texts.to_pylist()], pa.bool_())
+            return pa.array([self.judge(t)[3] for t in values(texts)], pa.bool_())
 
         return run(or_empty(text))
 

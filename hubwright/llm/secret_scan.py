@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hubwright.llm.common import hex_digest, or_empty, table
+from hubwright.llm.common import hex_digest, or_empty, table, values
 from hubwright.session import stage_table
 
 # The patterns of the base kinds, in the order in which spans of one start are listed.
@@ -168,7 +168,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [scan_text(t) for t in batch.column(1).to_pylist()]
+            both = [scan_text(t) for t in values(batch.column(1))]
             base = [[dict(zip(("start", "kind", "end"), s)) for s in b] for b, _ in both]
             found = [[dict(zip(("start", "end", "stratum", "bin"), c)) for c in f] for _, f in both]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, base_type), pa.array(found, found_type)], [doc_id, "base", "candidates"])
@@ -213,7 +213,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: st
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else redact_text(t, rejected, mark) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else redact_text(t, rejected, mark) for t in values(texts)], pa.string())
 
     return docs.withColumn(text, run(text))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hubwright.llm.common import or_empty, table
+from hubwright.llm.common import or_empty, table, values as each
 from hubwright.session import stage_table
 
 BITS = 64
@@ -74,8 +74,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        values = np.fromiter((fingerprint(t, words) for t in texts.to_pylist()), np.uint64, len(texts))
-        return pa.array(values.view(np.int64))
+        made = np.fromiter((fingerprint(t, words) for t in each(texts)), np.uint64, len(texts))
+        return pa.array(made.view(np.int64))
 
     return docs.select(doc_id, run(or_empty(text)).alias("fingerprint"))
 
