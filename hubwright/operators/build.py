@@ -44,21 +44,27 @@ def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     Copies are reduced inside each task before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
-    if not rest or any(_has_map(df.schema[c].dataType) for c in rest):
+    if not rest:
         return df.dropDuplicates(keys)
+    if any(_has_map(df.schema[c].dataType) for c in rest):
+        # maps cannot be compared, but their text can; sorted entries make equal maps equal texts
+        text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]))
+        best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), text).alias("_best"))
+        return best.select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in rest]).select(*df.columns)
     best = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_best"))
     return best.select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
 def build_nodes(df: DataFrame, model: NodeModel, unique: bool = False) -> DataFrame:
     """One node per key. Rows known to be unique need no shuffle, the plan is a projection."""
+    if model.synthetic and not unique:
+        # equal rows are one node, and each is hashed once; what is derived from them is not shuffled
+        df = df.select(*[F.col(f"`{c}`") for c in model.key_from]).distinct()
     rows = keyed_rows(df, model)
     columns = list(dict.fromkeys((*model.key, *model.properties)))
     nodes = rows.select(ID, F.lit(",".join(model.key)).alias(KEY), *[F.col(f"`{c}`") for c in columns])
-    if unique:
+    if unique or model.synthetic:
         return nodes
-    if model.synthetic:
-        return nodes.distinct()  # rows of one hash are equal in every column
     return one_per_key(nodes, [ID])
 
 

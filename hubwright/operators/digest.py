@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from hubwright.functions.values import to_text
 from hubwright.operators.graph import PropertyGraph, property_names
 
-MAX_PATTERNS = 200
 HUB_NODES = 50
 
 
@@ -37,9 +36,9 @@ def rel_type_counts(graph: PropertyGraph) -> DataFrame:
     return pattern_counts(graph).groupBy("type").agg(F.sum("count").alias("count")).orderBy("type")
 
 
-def patterns(graph: PropertyGraph, limit: int = MAX_PATTERNS) -> DataFrame:
-    """(from, type, to, count), most frequent first."""
-    return pattern_counts(graph).orderBy(F.desc("count"), "from", "type", "to").limit(limit)
+def patterns(graph: PropertyGraph) -> DataFrame:
+    """(from, type, to, count), most frequent first. Metadata, so all of them."""
+    return pattern_counts(graph).orderBy(F.desc("count"), "from", "type", "to")
 
 
 def label_properties(graph: PropertyGraph) -> DataFrame:

@@ -14,7 +14,6 @@ from hubwright.session import BROADCAST_ROWS, stage_table
 from hubwright.sources.tables import TableSpec
 
 TOP_HUBS = 5
-TOP_SHAPES = 6
 SUPERNODE_DEGREE = 100_000
 BIG_LABEL = 1000
 
@@ -72,7 +71,8 @@ def top_degrees(graph: PropertyGraph, k: int = TOP_HUBS, known: DataFrame | None
 
 def top_hubs(graph: PropertyGraph, k: int = TOP_HUBS, known: DataFrame | None = None) -> DataFrame:
     """``top_degrees`` with what identifies each node."""
-    best = top_degrees(graph, k, known)
+    # k rows per label, written once: each label's look-up would plan all degrees anew
+    best = stage_table(top_degrees(graph, k, known))
     named = []
     for label, frame in sorted(graph.nodes.items()):
         wanted = best.where(F.col("label") == label)
@@ -109,16 +109,24 @@ def maximal_shapes(graph: PropertyGraph) -> DataFrame:
 
     NULL columns and key-only nodes make such part shapes. Shapes are far fewer
     than nodes. Candidates for "is part of" come from an equal-key join: whatever
-    holds a shape also holds its first property.
+    holds a shape also holds the rarest of its properties, the one that fewest shapes have.
     """
-    shapes = _shape_counts(graph)
+    shapes = stage_table(_shape_counts(graph))
     holders = shapes.select(
         "label", F.col("shape").alias("holder"), F.explode(F.col("shape")).alias("first")
     )
-    # a node without any property is part of every shape
-    holders = holders.unionByName(shapes.select("label", F.col("shape").alias("holder"), F.lit("").alias("first")))
-    parts = shapes.withColumn("first", F.coalesce(F.try_element_at("shape", F.lit(1)), F.lit("")))
-    held = parts.join(holders, ["label", "first"]).where(
+    uses = holders.groupBy("label", "first").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = (
+        holders.join(uses, ["label", "first"])
+        .groupBy("label", F.col("holder").alias("shape"))
+        .agg(F.min(F.struct("uses", "first")).alias("rarest"))
+        .select("label", "shape", F.col("rarest.first").alias("first"))
+    )
+    # a node without any property is part of the largest shape, if there is another
+    whole = shapes.groupBy("label").agg(F.min(F.struct((-F.size("shape")).alias("size"), F.col("shape").alias("holder"))).alias("largest"))
+    empty = shapes.where(F.size("shape") == 0).select("label", "shape", "nodes").join(whole.select("label", "largest.holder"), "label")
+    parts = shapes.join(rarest, ["label", "shape"])
+    held = parts.join(holders, ["label", "first"]).select("label", "shape", "holder").unionByName(empty.select("label", "shape", "holder")).where(
         (F.size("holder") > F.size("shape")) & (F.size(F.array_except("shape", "holder")) == 0)
     )
     # the largest holder is maximal itself; equal sizes go by name
@@ -129,8 +137,10 @@ def maximal_shapes(graph: PropertyGraph) -> DataFrame:
     return folded.groupBy("label", "shape").agg(F.sum("nodes").alias("nodes"))
 
 
-def key_shapes(graph: PropertyGraph, k: int = TOP_SHAPES) -> DataFrame:
-    """The k most frequent maximal shapes per label."""
+def key_shapes(graph: PropertyGraph, k: int | None = None) -> DataFrame:
+    """The maximal shapes per label, or the k most frequent ones."""
+    if k is None:
+        return maximal_shapes(graph).select("label", "shape", "nodes")
     order = Window.partitionBy("label").orderBy(F.desc("nodes"), "shape")
     ranked = maximal_shapes(graph).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("label", "shape", "nodes")
@@ -178,7 +188,8 @@ def supernodes(
 
 def degree_concentration(graph: PropertyGraph, k: int = TOP_HUBS, known: DataFrame | None = None) -> DataFrame:
     """Share of a label's edge ends that its k best connected nodes hold."""
-    every = _degrees(graph, known).groupBy("label").agg(F.sum("degree").alias("all_ends"))
+    known = stage_table(degrees(graph)) if known is None else known
+    every = known.groupBy("label").agg(F.sum("degree").alias("all_ends"))
     top = top_degrees(graph, k, known).groupBy("label").agg(F.sum("degree").alias("top_ends"))
     return every.join(top, "label").where(F.col("all_ends") > 0).select(
         "label", "top_ends", "all_ends", F.round(F.col("top_ends") / F.col("all_ends"), 4).alias("share")

@@ -27,7 +27,9 @@ class Result:
 
 
 def bounded_rows(n: int) -> int:
-    return min(MOST_ROWS, max(1, n))
+    if not 1 <= n <= MOST_ROWS:
+        raise ValueError(f"a result holds 1 to {MOST_ROWS} rows, not {n}")
+    return n
 
 
 def bounded(df: DataFrame, n: int = DEFAULT_ROWS) -> Result:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 
@@ -153,6 +154,15 @@ def _foreign_relationship(spec: TableSpec, fk: ForeignKey) -> Relationship:
     )
 
 
+def _told_apart(relationships: list[Relationship], keys: tuple[ForeignKey, ...]) -> list[Relationship]:
+    """Keys that would share type and target, such as two addresses of an order, are named by their constraints."""
+    uses = Counter((r.rel_type, r.to_label) for r in relationships)
+    return [
+        replace(r, rel_type=rel_type_of_column(fk.name)) if uses[r.rel_type, r.to_label] > 1 else r
+        for r, fk in zip(relationships, keys)
+    ]
+
+
 def infer_model(spec: TableSpec, max_distinct: int = MAX_DISTINCT, ratio: float = MAX_RATIO) -> Model:
     """Propose a graph model for a table: one scan to screen, one small job to count exactly.
 
@@ -166,7 +176,7 @@ def infer_model(spec: TableSpec, max_distinct: int = MAX_DISTINCT, ratio: float
     counts = {row["column"]: row["distinct_values"] for row in found.collect()}
     hubs = [c for c in spec.df.columns if c in counts]
     folded = (linked | set(hubs)) - set(spec.primary_key)
-    relationships = [_foreign_relationship(spec, fk) for fk in spec.foreign_keys]
+    relationships = _told_apart([_foreign_relationship(spec, fk) for fk in spec.foreign_keys], spec.foreign_keys)
     relationships += [
         Relationship(DIMENSION, rel_type_of_column(c), label_of(c), (c,), (HUB_KEY,), distinct_values=counts[c])
         for c in hubs

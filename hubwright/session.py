@@ -29,6 +29,7 @@ def local_session(name: str = "hubwright", cores: int | str = "*", shuffle_parti
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**RECOMMENDED_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
@@ -75,11 +76,22 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _staging(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove what ``stage_table`` has written in this application. Call it when no result that reads it is needed any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_staging(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write the frame as Parquet into the checkpoint folder and read it from there.
 
     For wide rows that several later steps each need a few columns of.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = f"{_staging(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,10 +24,20 @@ class ForeignKey:
             raise ValueError(f"foreign key {self.name}: columns do not pair up with the referenced ones")
 
 
+#: Names that nodes and edges use themselves; source columns of these names get an underscore at the end.
+RESERVED = ("_id", "_key", "src_id", "dst_id")
+
+
+def _free(names: Sequence[str]) -> tuple[str, ...]:
+    return tuple(f"{n}_" if n in RESERVED else n for n in names)
+
+
 @dataclass(frozen=True)
 class TableSpec:
     """A DataFrame with its declared keys.
 
+    Columns named as in ``RESERVED`` are renamed, in the frame and in all keys.
+
     ``key_enforced`` says that whoever wrote the table guarantees the primary
     key (unique, no NULL), as a database does. Node building then needs no
     shuffle at all. Leave it off to have duplicates resolved, and run
@@ -41,6 +51,12 @@ class TableSpec:
     key_enforced: bool = False
 
     def __post_init__(self):
+        if any(c in RESERVED for c in self.df.columns):
+            # frozen, but not yet in anyone's hands
+            object.__setattr__(self, "df", self.df.toDF(*_free(self.df.columns)))
+            object.__setattr__(self, "primary_key", _free(self.primary_key))
+        keys = tuple(replace(fk, columns=_free(fk.columns), ref_columns=_free(fk.ref_columns)) for fk in self.foreign_keys)
+        object.__setattr__(self, "foreign_keys", keys)
         known = set(self.df.columns)
         for what, columns in [("primary key", self.primary_key)] + [(fk.name, fk.columns) for fk in self.foreign_keys]:
             missing = [c for c in columns if c not in known]

@@ -1,14 +1,17 @@
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from hubwright.operators.build import build_graph, build_nodes, load_summary, skipped_null_endpoints, wipe_label
+from hubwright.operators.build import build_graph, build_nodes, load_summary, one_per_key, skipped_null_endpoints, wipe_label
 from hubwright.operators.graph import union_by_name
 from hubwright.plans.model import infer_model
-from hubwright.session import stage_table
+from hubwright.session import drop_staged, stage_table
+from hubwright.sources import store
 from hubwright.sources.state import read_state, write_state
+from hubwright.sources.tables import ForeignKey, TableSpec
 from hubwright.sources.store import latest_version, load_saved_graph, save_graph
 from hubwright.functions.values import synthetic_key, to_graph_value
 
@@ -163,3 +166,62 @@ def test_state(spark, tmp_path):
     bad.mkdir()
     (bad / "part-0.parquet").write_text("junk")
     assert rows(read_state(spark, str(bad))) == []
+
+
+def test_reserved_names_of_columns_are_kept_apart(spark):
+    """The usual key of a document store, and columns named like the ends of edges."""
+    df = spark.createDataFrame([(1, "a", "x", "n"), (2, "b", "y", "n")], "id int, _id string, src_id string, name string")
+    by_id = TableSpec("things", df, ("_id",), (ForeignKey("f", ("src_id",), "others", ("_id",)),))
+    graph = build_graph([(by_id, infer_model(by_id))])
+    assert rows(graph.node("Thing").select("_id", "id", "_id_")) == [("_id_=a", 1, "a"), ("_id_=b", 2, "b")]
+    (edges,) = graph.edges.values()
+    assert rows(edges.select("src_id", "dst_id")) == [("_id_=a", "_id_=x"), ("_id_=b", "_id_=y")]
+
+
+def test_two_keys_to_one_parent_are_told_apart(spark):
+    df = spark.createDataFrame([(1, "EU", 1, "US", 2)], "id int, sr string, sn int, br string, bn int")
+    keys = tuple(ForeignKey(n, c, "addresses", ("r", "n")) for n, c in (("ship", ("sr", "sn")), ("bill", ("br", "bn"))))
+    spec = TableSpec("orders", df, ("id",), keys)
+    graph = build_graph([(spec, infer_model(spec))])
+    assert {k[1] for k in graph.edges} == {"HAS_SHIP", "HAS_BILL"}
+    assert graph.edge("HAS_SHIP").first()["dst_id"] != graph.edge("HAS_BILL").first()["dst_id"]
+
+
+def test_map_columns_keep_the_same_row(spark):
+    df = spark.sql("SELECT id % 2 AS k, map('a', id) AS m FROM range(40)").repartition(7)
+    first = {r["k"]: r["m"] for r in one_per_key(df, ["k"]).collect()}
+    assert first == {r["k"]: r["m"] for r in one_per_key(df.repartition(3), ["k"]).collect()} == {0: {"a": 8}, 1: {"a": 9}}
+
+
+def test_unchanged_tables_keep_their_files(spark, shop, tmp_path):
+    path = str(tmp_path / "graph")
+    save_graph(graph_of(shop, "orders"), path)
+    loaded = load_saved_graph(spark, path)
+    before = {k: f.inputFiles() for k, f in loaded.nodes.items()}
+    fewer = loaded.with_nodes("Order", loaded.node("Order").where("id > 5"))
+    assert save_graph(fewer, path) == 2
+    after = load_saved_graph(spark, path)
+    assert {k for k, f in after.nodes.items() if f.inputFiles() != before[k]} == {"Order"}
+    assert after.node("Order").count() == 55
+
+
+def test_of_two_writers_one_fails(spark, shop, tmp_path, monkeypatch):
+    path = str(tmp_path / "graph")
+    graph = graph_of(shop, "orders")
+    save_graph(graph, path)
+    monkeypatch.setattr(store, "latest_version", lambda spark, path: 0)
+    kept = {r["commit"] for r in spark.read.parquet(f"{path}/versions").collect()}
+    monkeypatch.setattr(store.uuid, "uuid4", lambda: type("U", (), {"hex": "f" * 32})())
+    with pytest.raises(RuntimeError, match="version 1"):
+        save_graph(graph.with_nodes("Order", graph.node("Order").limit(1)), path)
+    monkeypatch.undo()
+    assert load_saved_graph(spark, path).node("Order").count() == 60 and len(kept) == 1
+
+
+def test_staged_tables_can_be_dropped(spark):
+    staged = stage_table(spark.range(3))
+    assert staged.count() == 3
+    folder = Path(staged.inputFiles()[0].removeprefix("file://")).parent.parent
+    assert folder.exists()
+    drop_staged(spark)
+    assert not folder.exists()

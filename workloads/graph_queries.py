@@ -156,6 +156,64 @@ def _(spark, sf):
     return co_occurrence(t.order_part_graph(spark, sf), "ORDER_PART")
 
 
+@query("co_occurrence_hot", _TOGETHER.format(src="l_linestatus", dst="'p_partkey=' || l_partkey", table="lineitem"))
+def _(spark, sf):
+    return co_occurrence(t.status_part_graph(spark, sf), "STATUS_PART")
+
+
+# one edge type that leaves two labels, and ids that both have
+
+@query("shared_type_expand_out", "SELECT 'id=' || o_orderkey AS _id, 'value=' || o_orderpriority AS other_id FROM orders")
+def _(spark, sf):
+    graph = t.shared_graph(spark, sf)
+    return match.expand(graph, graph.node("Order").select(ID), "HAS_KIND", from_label="Order")
+
+
+@query("shared_type_expand_in", "SELECT DISTINCT 'value=' || event_type AS _id, 'id=' || event_id AS other_id FROM events")
+def _(spark, sf):
+    graph = t.shared_graph(spark, sf)
+    return match.expand(graph, graph.node("Kind").select(ID), "HAS_KIND", "in", from_label="Event")
+
+
+@query(
+    "shared_type_expand_both",
+    """SELECT 'id=' || o_orderkey AS _id, 'value=' || o_orderpriority AS other_id FROM orders
+       UNION ALL SELECT 'value=' || o_orderpriority, 'id=' || o_orderkey FROM orders""",
+)
+def _(spark, sf):
+    graph = t.shared_graph(spark, sf)
+    both = graph.node("Order").select(ID).unionByName(graph.node("Kind").select(ID))
+    return match.expand(graph, both, "HAS_KIND", "both", from_label="Order")
+
+
+@query(
+    "shared_type_sharing",
+    "SELECT 'value=' || event_type AS hub_id, count(*) * (count(*) - 1) // 2 AS pairs FROM events GROUP BY event_type HAVING count(*) > 1",
+)
+def _(spark, sf):
+    return match.shared_neighbor_counts(t.shared_graph(spark, sf), "HAS_KIND", k=None, from_label="Event")
+
+
+@query("shared_type_busiest", "SELECT 'value=' || o_orderpriority AS target_id, count(*) AS degree FROM orders GROUP BY ALL ORDER BY degree DESC, target_id LIMIT 10")
+def _(spark, sf):
+    return match.busiest(t.shared_graph(spark, sf), "HAS_KIND", from_label="Order")
+
+
+@query("shared_type_distinct", "SELECT 'value=' || event_type AS dst_id, count(DISTINCT event_id) AS neighbors FROM events GROUP BY event_type")
+def _(spark, sf):
+    return match.count_distinct_neighbors(t.shared_graph(spark, sf), "HAS_KIND", from_label="Event")
+
+
+@query(
+    "shared_type_two_hops",
+    """SELECT 'value=' || o_orderpriority AS start_id, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS reached
+       FROM orders GROUP BY o_orderpriority""",
+)
+def _(spark, sf):
+    reached = match.collect_two_hops(t.shared_graph(spark, sf), "HAS_KIND", "HAS_STATE", label="Order")
+    return reached.select("start_id", F.array_join("reached", ",").alias("reached"))
+
+
 @query("busiest_hubs", "SELECT 'p_partkey=' || l_partkey AS target_id, count(DISTINCT l_orderkey) AS degree FROM lineitem GROUP BY l_partkey ORDER BY degree DESC, target_id LIMIT 10")
 def _(spark, sf):
     return match.busiest(t.order_part_graph(spark, sf), "ORDER_PART")

@@ -87,6 +87,25 @@ def order_part_graph(spark: SparkSession, sf_dir: str, entities: bool = False) -
     return build_graph(loads)
 
 
+def shared_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Orders and events with keys of one name and hubs of one edge type, as tables without column prefixes have."""
+    orders = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderpriority AS kind", "o_orderstatus AS state")
+    events = read(spark, sf_dir, "events").selectExpr("event_id AS id", "event_type AS kind")
+    specs = [TableSpec(n, df, ("id",), key_enforced=True) for n, df in (("orders", orders), ("events", events))]
+    return build_graph([(s, infer_model(s)) for s in specs])
+
+
+def status_part_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Line statuses and the parts they occur with: two or three sources that each have nearly all parts."""
+    linked = read(spark, sf_dir, "lineitem").select("l_linestatus", "l_partkey").distinct()
+    keys = (
+        ForeignKey("status", ("l_linestatus",), "statuses", ("status",), enforced=True),
+        ForeignKey("part", ("l_partkey",), "part", ("p_partkey",), enforced=True),
+    )
+    link = TableSpec("status_part", linked, ("l_linestatus", "l_partkey"), keys, key_enforced=True)
+    return build_graph([(link, infer_model(link))])
+
+
 def open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose customer is unknown for the lowest priority: a nullable foreign key."""
     orders = read(spark, sf_dir, "orders")
