@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from hubwright.functions.values import truncate_value
 from hubwright.operators import dedupe, digest, health, match, paths, results, snapshot
@@ -703,3 +705,54 @@ def _(spark, sf):
 @query("long_property_values", """SELECT 'doc_id=' || doc_id AS _id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END AS text FROM documents""")
 def _(spark, sf):
     return t.graph(spark, sf, ("documents",)).node("Document").select(ID, truncate_value(F.col("text")).alias("text"))
+
+
+# --- reports of several parts, as one long frame ---------------------------------------------
+
+def _long(parts: dict, **columns) -> DataFrame:
+    """(part, name, value) rows: for each part the name and value columns given."""
+    rows = [
+        parts[part].select(F.lit(part).alias("part"), F.concat_ws(" ", *names).alias("name"), F.col(value).cast("string").alias("value"))
+        for part, (names, value) in columns.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(
+    "digest_report",
+    SALES + """, counted AS (SELECT label, count(*) AS n FROM nodes GROUP BY label)
+    SELECT 'labels' AS part, label AS name, CAST(n AS VARCHAR) AS value FROM counted
+    UNION ALL SELECT 'relationships', type, CAST(count(*) AS VARCHAR) FROM edges GROUP BY type
+    UNION ALL SELECT 'patterns', from_label || ' ' || type || ' ' || to_label, CAST(count(*) AS VARCHAR) FROM edges GROUP BY ALL
+    UNION ALL SELECT 'properties', 'Order', 'o_orderdate,o_orderkey,o_totalprice'
+    UNION ALL SELECT 'properties', 'Customer', CASE WHEN count(c_acctbal) > 0 THEN 'c_acctbal,' ELSE '' END || 'c_custkey,c_name' FROM customer
+    UNION ALL SELECT 'properties', 'Nation', 'n_name,n_nationkey' UNION ALL SELECT 'properties', 'Region', 'r_name,r_regionkey'
+    UNION ALL SELECT 'properties', l, 'value' FROM (VALUES ('CMktsegment'), ('OOrderstatus'), ('OOrderpriority')) v(l)
+    UNION ALL SELECT 'dimension_values', label, string_agg(substr(_id, 7), ',' ORDER BY _id) FROM nodes WHERE _id LIKE 'value=%' GROUP BY label
+    UNION ALL SELECT 'fingerprint', '', substr(sha256(string_agg(label || ':' || n, '|' ORDER BY label)), 1, 16) FROM counted""",
+)
+def _(spark, sf):
+    parts = digest.digest(t.graph(spark, sf))
+    for part, column in (("properties", "properties"), ("dimension_values", "values")):
+        parts[part] = parts[part].withColumn(column, F.array_join(column, ","))
+    return _long(
+        parts, labels=(["label"], "count"), relationships=(["type"], "count"), patterns=(["from", "type", "to"], "count"),
+        properties=(["label"], "properties"), dimension_values=(["label"], "values"), fingerprint=([], "fingerprint"),
+    )
+
+
+@query(
+    "health_report",
+    SALES + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY degree DESC, _id) AS rank FROM degrees)
+    SELECT 'labels' AS part, label AS name, CAST(count(*) AS VARCHAR) AS value FROM nodes GROUP BY label
+    UNION ALL SELECT 'relationship_types', type, CAST(count(*) AS VARCHAR) FROM edges GROUP BY type
+    UNION ALL SELECT 'top_hubs', label || ' ' || _id, CAST(degree AS VARCHAR) FROM ranked WHERE rank <= 5
+    UNION ALL SELECT 'orphans', label, CAST(count(*) FILTER (degree = 0) AS VARCHAR) FROM degrees GROUP BY label
+    UNION ALL SELECT 'degree_concentration', label, CAST(CAST(sum(degree) FILTER (rank <= 5) AS BIGINT) AS VARCHAR) FROM ranked GROUP BY label HAVING sum(degree) > 0
+    UNION ALL SELECT 'missing_keys', label, CAST(count(*) AS VARCHAR) FROM nodes GROUP BY label HAVING count(*) > 1000""",
+)
+def _(spark, sf):
+    return _long(
+        health.health(t.graph(spark, sf)), labels=(["label"], "count"), relationship_types=(["type"], "count"), top_hubs=(["label", ID], "degree"),
+        orphans=(["label"], "orphans"), degree_concentration=(["label"], "top_ends"), missing_keys=(["label"], "nodes"),
+    )
