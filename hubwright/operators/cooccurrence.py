@@ -1,5 +1,8 @@
 """Pairs of targets that share many sources, without the pairs of a hot source.
 
+Targets that cannot be among the answers go first: a pair shares no more sources than its
+less connected end has, and the best connected targets give a count that k pairs reach.
+
 A source with d targets stands for d*(d-1)/2 pairs, so one source with a third
 of all edges must not be expanded. Sources are split by degree:
 
@@ -21,9 +24,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from hubwright.operators.graph import DST, SRC, PropertyGraph
 from hubwright.operators.match import top_k
-from hubwright.session import cut_lineage
+from hubwright.session import cut_lineage, stage_table
 
 HOT_SOURCE = 1000
+PROBED = 64  # best connected targets whose pairs set the bound; at most so many rows to an edge
 
 
 def _pairs_by_source(edges: DataFrame, node: str) -> DataFrame:
@@ -33,11 +37,22 @@ def _pairs_by_source(edges: DataFrame, node: str) -> DataFrame:
     return left.join(right, SRC).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
 
 
+def _possible(edges: DataFrame, k: int) -> DataFrame:
+    """The edges of targets with at least as many sources as the k-th best pair among the best connected targets shares."""
+    degree = stage_table(edges.groupBy(DST).agg(F.count(F.lit(1)).alias("degree")))
+    probed = F.broadcast(degree.orderBy(F.desc("degree"), DST).limit(PROBED).select(DST))
+    best = top_k(_pairs_by_source(edges.join(probed, DST, "left_semi"), DST), k, "together", ["a", "b"])
+    found, bound = best.agg(F.count(F.lit(1)), F.min("together")).first()
+    if found < k or bound <= 1:
+        return edges
+    return edges.join(degree.where(F.col("degree") >= bound).select(DST), DST, "left_semi")
+
+
 def co_occurrence(
     graph: PropertyGraph, rel_type: str, k: int = 10, hot: int = HOT_SOURCE, from_label: str | None = None, to_label: str | None = None
 ) -> DataFrame:
     """The k pairs of targets that share the most sources: ``a``, ``b``, ``together``."""
-    edges = graph.edge(rel_type, from_label, to_label).select(SRC, DST)  # a graph holds one edge per pair of ends
+    edges = _possible(graph.edge(rel_type, from_label, to_label).select(SRC, DST), k)  # a graph holds one edge per pair of ends
     degree = edges.groupBy(SRC).agg(F.count(F.lit(1)).alias("degree"))
     hot_sources = cut_lineage(degree.where(F.col("degree") > hot).select(SRC))
     if hot_sources.isEmpty():
