@@ -253,16 +253,18 @@ def fit(docs: DataFrame, keys: list[str], text: str = "text", fit_docs: int = FI
 
     buckets = max(1, sum(counts.values()) // fit_docs)
     chosen = docs.where(F.pmod(F.xxhash64(*keys), F.lit(buckets)) == 0)
-    kinds = {"votes": ("string", pa.string()), "at": ("array<int>", pa.list_(pa.int32())), "value": ("array<double>", pa.list_(pa.float64()))}
+    kinds = {"votes": ("string", pa.string()), "at": ("binary", pa.binary()), "value": ("binary", pa.binary())}
 
-    def example(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    def example(text: str) -> tuple[str, bytes, bytes]:
         seen, words = signals(text)
-        return votes_on(seen), *features_of(seen, words)
+        at, value = features_of(seen, words)
+        return votes_on(seen), at.astype("<i4").tobytes(), value.astype("<f8").tobytes()
 
     sample = _mapped(chosen, [], text, kinds, example).collect()
     sample.sort(key=lambda r: (r["votes"], r["at"], r["value"]))  # a repeated run adds up in the same order
     weights, offset = fit_scorer(
-        [(np.array(r["at"], np.int64), np.array(r["value"])) for r in sample], np.array([posterior[r["votes"]] for r in sample])
+        [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f8")) for r in sample],
+        np.array([posterior[r["votes"]] for r in sample]),
     )
     return Model(posterior, weights, offset)
 
