@@ -1,10 +1,11 @@
 """Secrets in texts: patterns, and a battery of randomness tests under false-discovery control.
 
 Patterns find assigned passwords and tokens, access keys and long hex strings. Other
-runs of key-like characters are candidates: their encoding is inferred from the characters
+runs of key-like characters are candidates, whole, in the parts between their separators / + - _
+and in what base spans leave of them: their encoding is inferred from the characters
 they use, and three tests ask whether they look like uniform draws from that alphabet:
-chi-squared for the letters' frequencies, runs above and below the middle, and serial correlation.
-Fisher's method makes one p-value of the three.
+chi-squared for the letters' frequencies, runs above and below the middle, and serial correlation;
+for letters alone also the balance of cases. Fisher's method makes one p-value of them.
 
 A small p-value speaks against randomness. Which are small enough is decided over all
 texts at once, by Benjamini-Hochberg within each encoding and length band. The level falls
@@ -48,12 +49,16 @@ ENCODINGS = {
     "base32": _UPPER + "234567",
     "base36": _DIGITS + _LOWER,
     "BASE36": _DIGITS + _UPPER,
+    "base52": _UPPER + _LOWER,
     "base62": _DIGITS + _UPPER + _LOWER,
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
 _PLACES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ENCODINGS.items()}
 
+#: Parts of a run: without any separator, and without those of one of the two alphabets that have some.
+SPLITTERS = (re.compile(r"[^/+]+"), re.compile(r"[^_-]+"))
+
 LEAST_CHARS = 20
 #: Level for strings of LEAST_CHARS; it falls in proportion to the length.
 LEVEL = 0.1
@@ -87,10 +92,10 @@ def long_runs(data: bytes, least: int) -> list[tuple[int, int]]:
 
 
 def encoding_of(word: str) -> str | None:
-    """The narrowest encoding that has all characters; None for words that no encoder makes: digits or letters of one case alone."""
+    """The narrowest encoding that has all characters; None for words of digits or letters of one case alone, and for those without an encoding."""
     letters = set(word)
     lower, upper, digits = letters & set(_LOWER), letters & set(_UPPER), letters & set(_DIGITS)
-    if not digits or not (lower or upper):
+    if bool(digits) + bool(lower) + bool(upper) < 2:
         return None
     fits = [name for name, places in _PLACES.items() if letters <= places.keys()]
     if not fits or fits[0] in ("base64", "base64url") and not (lower and upper):
@@ -129,8 +134,11 @@ def randomness(word: str, encoding: str) -> float:
     correlation = float((centred[1:] * centred[:-1]).sum()) / spread if spread else 1.0
     p_serial = 2 * _upper_tail(abs(correlation) * math.sqrt(n))
 
-    half = -sum(math.log(max(p, 1e-300)) for p in (p_cells, min(1.0, p_runs), min(1.0, p_serial)))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    tests = [p_cells, min(1.0, p_runs), min(1.0, p_serial)]
+    if encoding == "base52":  # letters alone: names in camel case have far more small letters than drawn ones
+        tests.append(2 * _upper_tail(abs(a - b) / math.sqrt(n)))
+    half = -sum(math.log(max(p, 1e-300)) for p in tests)
+    return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(tests)))
 
 
 def band_of(chars: int) -> int:
@@ -141,8 +149,20 @@ def bin_of(p: float) -> int:
     return min(BINS - 1, int(-math.log10(max(p, 1e-300)) * BINS_PER_TEN))
 
 
+def parts(word: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of a run to test: whole, between separators, and the rest beside the base spans ``covered``; none lies within one of those."""
+    rests, at = [], 0
+    for s, e in sorted(covered):
+        rests.append((at, s))
+        at = max(at, e)
+    pieces = {(0, len(word)), *rests, (at, len(word))}
+    for splitter in SPLITTERS:
+        pieces |= {(a + m.start(), a + m.end()) for a, b in list(pieces) for m in splitter.finditer(word[a:b])}
+    return sorted((a, b) for a, b in pieces if b - a >= LEAST_CHARS and not any(s <= a and b <= e for s, e in covered))
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int]]]:
-    """Base spans, and candidates (start, end, stratum, bin of p) that touch none of them."""
+    """Base spans, and candidates (start, end, stratum, bin of p) that lie within none of them."""
     data = text.encode()
     runs = long_runs(data, min(HEX_CHARS, ACCESS_CHARS, LEAST_CHARS))
     base = base_spans(text, data.lower(), bool(runs))
@@ -150,14 +170,14 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     for a, b in runs:
         if b - a < LEAST_CHARS:
             continue
-        word = data[a:b].decode("ascii")
-        encoding = encoding_of(word)
-        if encoding is None:
-            continue
-        start = len(data[:a].decode())
-        end = start + len(word)
-        if all(end <= s or e <= start for s, _, e in base):
-            candidates.append((start, end, f"{encoding}/{band_of(len(word))}", bin_of(randomness(word, encoding))))
+        run = data[a:b].decode("ascii")
+        first = len(data[:a].decode())
+        touching = [(max(s - first, 0), min(e - first, len(run))) for s, _, e in base if s < first + len(run) and first < e]
+        for start, end in parts(run, touching):
+            word = run[start:end]
+            encoding = encoding_of(word)
+            if encoding is not None:
+                candidates.append((first + start, first + end, f"{encoding}/{band_of(len(word))}", bin_of(randomness(word, encoding))))
     return base, candidates
 
 
