@@ -7,7 +7,8 @@
 3. The centroids' nearest-neighbour graph is searched by best-first beams, in memory in each task. A vector
    goes into the list of its nearest centroid and, near a boundary, into those of others that are
    nearly as near.
-4. A query probes the lists whose centroids are within a ratio of the nearest one's distance.
+4. A query probes the lists whose centroids are within a ratio of the nearest one's distance. Their number
+   is capped by a share of all lists, so that it grows with the table; all centroids are compared for it.
 5. Lists that outgrow their share are split by a hash, and a query visits all parts. Scores are
    exact cosines of the original vectors in double precision.
 
@@ -19,6 +20,7 @@ Rows of one id count as one if their vectors are equal, else each is a candidate
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +40,8 @@ PART_VECTORS = 4096
 LINKS, BEAM = 24, 48
 #: A vector is copied to lists within this ratio of its nearest centroid's distance.
 CLOSURE, MOST_COPIES = 1.12, 6
-#: A query probes lists within this ratio, at least LEAST_PROBES and at most BEAM.
-PROBE_RATIO, LEAST_PROBES = 1.5, 8
+#: A query probes lists within this ratio, at least LEAST_PROBES and at most BEAM or this share of all, where that is more.
+PROBE_RATIO, LEAST_PROBES, PROBE_SHARE = 1.5, 8, 0.125
 SEED = 7
 
 
@@ -97,6 +99,15 @@ class CentroidGraph:
         parts = [self._beams(queries[at : at + batch], min(beam, len(self.centroids))) for at in range(0, len(queries), batch)]
         return np.concatenate([i for i, _ in parts]), np.concatenate([d for _, d in parts])
 
+    def scan(self, queries: np.ndarray, most: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``, but exact, for more centroids than a beam holds."""
+        found = []
+        for at in range(0, len(queries), batch):
+            sims = queries[at : at + batch] @ self.centroids.T
+            ids = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+            found.append((ids, np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, ids, axis=1)))))
+        return np.concatenate([i for i, _ in found]), np.concatenate([d for _, d in found])
+
     def _beams(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         rows, n = np.arange(len(q))[:, None], len(self.centroids)
         ids = np.broadcast_to(self.entries, (len(q), len(self.entries))).copy()
@@ -156,6 +167,20 @@ def train(distinct: DataFrame, total: int, dims: int) -> CentroidGraph:
     return CentroidGraph.build(balanced_centroids(unit(np.array([r["vec"] for r in rows], np.float64)), lists))
 
 
+def most_probes(lists: int) -> int:
+    """Lists that a query probes at most."""
+    return max(BEAM, math.ceil(PROBE_SHARE * lists))
+
+
+def chosen_lists(vectors: np.ndarray, graph: CentroidGraph, ratio: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit vector its nearest lists, and which of them are taken."""
+    lists, far = graph.scan(vectors, most) if most > BEAM else graph.search(vectors, BEAM)
+    take = far <= ratio * far[:, :1] + 1e-6
+    take[:, :least] = True
+    take[:, most:] = False
+    return lists, take
+
+
 def place(rows: DataFrame, graph: CentroidGraph, ratio: float, least: int, most: int) -> DataFrame:
     """A row with ``list`` for each list that a vector goes into or a query probes."""
 
@@ -163,10 +188,7 @@ def place(rows: DataFrame, graph: CentroidGraph, ratio: float, least: int, most:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists, far = graph.search(unit(_matrix(batch.column(0))).astype(np.float32), max(BEAM, most))
-            take = far <= ratio * far[:, :1] + 1e-6
-            take[:, :least] = True
-            take[:, most:] = False
+            lists, take = chosen_lists(unit(_matrix(batch.column(0))).astype(np.float32), graph, ratio, least, most)
             at, slot = np.nonzero(take)
             out = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists[at, slot].astype(np.int32))], [*out.schema.names, "list"])
@@ -193,7 +215,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     postings = postings.join(sizes, "list").withColumn("part", salt).drop("parts")
     asked = stage_table(asked.withColumn("query", F.min("id").over(Window.partitionBy("vec"))))
-    probes = place(asked.groupBy("vec").agg(F.min("id").alias("query")), graph, PROBE_RATIO, LEAST_PROBES, BEAM)
+    probes = place(asked.groupBy("vec").agg(F.min("id").alias("query")), graph, PROBE_RATIO, LEAST_PROBES, most_probes(len(graph.centroids)))
     probes = probes.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def compare(members: pa.Table, probing: pa.Table) -> pa.Table:
