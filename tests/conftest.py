@@ -65,8 +65,3 @@ def shop(spark):
             key("s", ("region", "seq"), "shipments", ("region", "seq")),
         ),
     }
-
-
-def rows(df):
-    """Rows as a sorted list of tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -2,7 +2,7 @@ from dataclasses import replace
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from hubwright.operators.build import build_graph, build_nodes, load_summary, one_per_key, skipped_null_endpoints, wipe_label

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from hubwright.functions.text import indel_ratio, normalize_text, token_sort, within_reach

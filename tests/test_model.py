@@ -1,7 +1,7 @@
 from dataclasses import replace
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from hubwright.plans.model import (
     DIMENSION, Relationship, infer_model, is_join_table, load_model, save_model,

@@ -1,6 +1,6 @@
 from dataclasses import replace
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from hubwright.operators.build import build_graph
