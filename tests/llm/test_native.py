@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from hubwright.llm import chat_format, exact_dedup, url_filter

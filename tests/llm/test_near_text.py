@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -12,7 +12,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 

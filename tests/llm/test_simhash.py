@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest import ODD
+from odd_rows import ODD
 from hypothesis import given, settings, strategies as st
 
 from hubwright.llm import simhash

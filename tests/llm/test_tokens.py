@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
