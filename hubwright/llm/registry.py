@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from hubwright.llm import ann, bpe, chat_format, exact_dedup, packing, quality, secret_scan, sharding, simhash, url_filter
+from hubwright.llm import (
+    ann, bpe, chat_format, exact_dedup, lexical_search, line_dedup, packing, quality, secret_scan, sharding, simhash, url_filter, variants,
+)
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,10 +17,15 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_external_shuffle": sharding.op9_external_shuffle,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_spelling_variants": variants.op12_spelling_variants,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 
 TWINS: dict[str, str] = {
     "op6_url_filter": url_filter.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }

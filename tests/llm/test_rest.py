@@ -38,7 +38,7 @@ def test_query_equals_its_twin(spark, name):
 
 def test_all_are_registered():
     names = contract.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
 
 
 # quality
