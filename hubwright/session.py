@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -76,22 +78,47 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Folders that ``scratch`` has opened, the innermost last.
+_SCRATCH: list[str] = []
+
+
 def _staging(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Remove what ``stage_table`` has written in this application. Call it when no result that reads it is needed any more."""
+def delete_folder(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_staging(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged. Call it when no result that reads it is needed any more."""
+    delete_folder(spark, _staging(spark))
+
+
+def staged_path(spark: SparkSession) -> str:
+    """A new name below the staging folder, for files that live no longer than the application."""
+    return f"{_SCRATCH[-1] if _SCRATCH else _staging(spark)}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is removed at the end: write the result to a path made before."""
+    folder = staged_path(spark)
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(folder)
+        delete_folder(spark, folder)
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write the frame as Parquet into the checkpoint folder and read it from there.
 
     For wide rows that several later steps each need a few columns of.
     """
-    path = f"{_staging(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
