@@ -14,15 +14,13 @@ each; with fewer rows than shards some shards are empty; an empty table gives em
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hubwright.llm.common import free_name, table
-from hubwright.session import checkpoint_dir
+from hubwright.session import staged_path
 
 SHARDS, SEED = 40, 20_240_501
 #: Text bytes of a bucket, on average; a task holds one bucket.
@@ -83,7 +81,7 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = SHARDS, seed: int
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the shards, from the files written."""
     docs = table(spark, sf_dir, "documents")
-    written = external_shuffle(docs, f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}")
+    written = external_shuffle(docs, staged_path(spark))
     return written.select(
         "doc_id",
         record_size("text").alias("size"),

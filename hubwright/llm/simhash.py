@@ -15,7 +15,7 @@ fingerprints is lost, and no group is cut.
 
 Defined results: a null text counts as empty; a text without words has fingerprint
 zero, which links like any other; fewer words than a shingle are one shingle; rows that
-repeat are separate members; an empty table gives an empty result.
+repeat are separate members; a component without any id has a null component_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hubwright.llm.common import or_empty, table, values as each
+from hubwright.llm.common import free_name, or_empty, table, values as each
 from hubwright.session import stage_table
 
 BITS = 64
@@ -69,15 +69,15 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fingerprint, the 64 bits as a signed long."""
+def fingerprint_of(text: str | Column, words: int = SHINGLE_WORDS) -> Column:
+    """The fingerprint's 64 bits as a signed long."""
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
         made = np.fromiter((fingerprint(t, words) for t in each(texts)), np.uint64, len(texts))
         return pa.array(made.view(np.int64))
 
-    return docs.select(doc_id, run(or_empty(text)).alias("fingerprint"))
+    return run(or_empty(text))
 
 
 def _prefix(depth: int) -> Column:
@@ -263,22 +263,60 @@ def components(links: DataFrame) -> DataFrame:
     return small.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(small.select("dst", "dst").distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, budget: int = MAX_DIFFERING) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of all that are linked, one row per row of ``docs``."""
-    marked = stage_table(fingerprints(docs, doc_id, text, words))
-    values = stage_table(marked.groupBy("fingerprint").agg(F.min(doc_id).alias("least")))
+def linked_values(marked: DataFrame, doc_id: str, fingerprint_: str, budget: int = MAX_DIFFERING) -> DataFrame:
+    """fingerprint, root, component_id of every different fingerprint: root names the component, component_id is its smallest id.
+
+    ``marked``: rows with their fingerprint, written before.
+    """
+    values = stage_table(marked.groupBy(F.col(f"`{fingerprint_}`").alias("fingerprint")).agg(F.min(doc_id).alias("least")))
     cells = plan_cells(values, values.count())
     linked = components(cell_links(values.select("fingerprint"), cells, budget))
     named = values.join(linked, values["fingerprint"] == linked["node"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    changed = linked.join(named, "root").select("node", "component_id")
-    by_value = values.join(changed, values["fingerprint"] == changed["node"], "left").select(
-        "fingerprint", F.coalesce("component_id", "least").alias("component_id")
+    changed = linked.join(named, "root").select("node", "root", "component_id")
+    return values.join(changed, values["fingerprint"] == changed["node"], "left").select(
+        "fingerprint",
+        F.coalesce("root", "fingerprint").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return marked.join(by_value, "fingerprint").select(
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, budget: int = MAX_DIFFERING) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of all that are linked, one row per row of ``docs``."""
+    marked = stage_table(docs.select(doc_id, fingerprint_of(text, words).alias("fingerprint")))
+    return marked.join(linked_values(marked, doc_id, "fingerprint", budget), "fingerprint").select(
         doc_id, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, budget: int = MAX_DIFFERING) -> DataFrame:
+    """``docs`` with one row of each component: one of those with the smallest id, a null id last.
+
+    Ids and fingerprints decide; texts are shuffled once, to meet the pairs that go.
+    """
+    own, number = free_name("fingerprint", docs.columns), free_name("number", docs.columns)
+    marked = stage_table(docs.withColumn(own, fingerprint_of(text, words)))
+    root = linked_values(marked, doc_id, own, budget).select("fingerprint", "root")
+    pairs = marked.groupBy(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{own}`").alias("fingerprint")).agg(F.count(F.lit(1)).alias("rows"))
+    pairs = stage_table(pairs.join(root, "fingerprint"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "fingerprint")
+    several = pairs.groupBy("root").agg(F.min(order).alias("first"), F.sum("rows").alias("all")).where("all > 1").select("root", "first")
+    stays = F.expr("id <=> first.id and fingerprint = first.fingerprint")
+    settled = stage_table(pairs.join(several, "root").select("id", "fingerprint", stays.alias("stays")).where("not stays"))
+    tied = stage_table(pairs.join(several, "root").where(stays & (F.col("rows") > 1)).select("id", "fingerprint"))
+
+    def of(keys: DataFrame) -> Column:
+        return marked[doc_id].eqNullSafe(keys["id"]) & (marked[own] == keys["fingerprint"])
+
+    # by sorting at every size: the plan must not change with what could be broadcast
+    left = marked.join(settled.hint("merge"), of(settled), "left_anti")
+    if tied.isEmpty():
+        return left.select(docs.columns)
+    place = F.row_number().over(Window.partitionBy(doc_id, own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    single = left.join(tied.hint("merge"), of(tied), "left_anti").select(docs.columns)
+    first = marked.join(tied.hint("merge"), of(tied), "left_semi").withColumn(number, place).where(F.col(number) == 1)
+    return single.union(first.select(docs.columns))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     return near_duplicates(table(spark, sf_dir, "documents"))

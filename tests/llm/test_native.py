@@ -91,9 +91,9 @@ def test_copies(odd, no_docs):
 
 
 @pytest.mark.parametrize("capacity", [1, 5, 100])
-def test_directory_doubles_until_buckets_fit(spark, tmp_path, capacity):
-    keys = spark.range(60).select(F.xxhash64("id").alias("key"))
-    directory = exact_dedup.grow_directory(keys, 60, bucket_keys=capacity, most_slots=1 << 16)
+def test_directory_doubles_until_buckets_fit(spark, capacity):
+    keys = spark.range(60).select(F.xxhash64("id").alias("key"), F.lit(1).alias("bytes"))
+    directory = exact_dedup.grow_directory(keys, 60, bucket_bytes=capacity, most_slots=1 << 16)
     placed = keys.withColumn("slot", exact_dedup.slot(directory.depth)).join(directory.frame(spark), "slot")
     sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
     assert sum(sizes) == 60 and max(sizes) <= capacity
@@ -101,7 +101,34 @@ def test_directory_doubles_until_buckets_fit(spark, tmp_path, capacity):
 
 
 def test_colliding_keys_are_chained(spark, tmp_path):
-    groups = spark.createDataFrame([(5, "a", 1, 2), (5, "b", 2, 1), (9, "c", 3, 1)], "key long, text_sha256 string, keep_id long, group_size long")
-    index = exact_dedup.build_index(groups, exact_dedup.Directory(1, (0, 1)), f"file://{tmp_path}/index")
+    groups = spark.createDataFrame([(0, 5, "a", 1, 2), (0, 5, "b", 2, 1), (1, 9, "c", 3, 1)], "bucket long, key long, text_sha256 string, keep_id long, group_size long")
+    index = exact_dedup.build_index(groups, f"file://{tmp_path}/index")
     entries = spark.createDataFrame([(1, 5, "a"), (4, 5, "a"), (2, 5, "b"), (3, 9, "c")], "doc_id long, key long, text_sha256 string")
     assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.lookup(entries, index).collect()) == [(1, 1), (2, 2), (3, 3), (4, 1)]
+
+
+KEYS = {"xxhash64": F.xxhash64, "length": F.length, "one": lambda v: F.lit(7)}
+
+
+@pytest.mark.parametrize("key", KEYS)
+@pytest.mark.parametrize("bucket_bytes", [1, 200, 1 << 20])
+def test_unequal_bytes_under_one_key(spark, odd, key, bucket_bytes):
+    """Texts that share a key are told apart by their bytes, in small buckets, hot keys and large ones alike."""
+    want = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_duplicates(odd).collect()}
+    got = exact_dedup.exact_duplicates(odd, key=KEYS[key], bucket_bytes=bucket_bytes).collect()
+    assert len(got) == len(ODD) and {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == want
+    rows = exact_dedup.unique_rows(odd, key=KEYS[key], bucket_bytes=bucket_bytes)
+    no_python(rows)
+    assert rows.columns == odd.columns
+    # one whole row of each text, with the smallest id
+    assert sorted(r.doc_id or 0 for r in rows.collect()) == sorted({k or 0 for _, k, *_ in want})
+
+
+def test_a_third_of_all_rows_are_one_text(spark):
+    docs = spark.createDataFrame([(i, "the same  text" if i % 3 == 0 else f"text {i // 2}") for i in range(6000)], "doc_id long, text string").repartition(6)
+    first = {}
+    for r in sorted(docs.collect()):
+        first.setdefault(" ".join(r.text.split()), r.doc_id)
+    for bucket_bytes in (1000, 1 << 22):
+        rows = exact_dedup.unique_rows(docs, bucket_bytes=bucket_bytes)
+        assert sorted(r.doc_id for r in rows.collect()) == sorted(first.values())

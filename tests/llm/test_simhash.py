@@ -100,3 +100,37 @@ def test_odd_texts(odd, no_docs):
         least[root] = min(known) if known else None
     assert got == sorted([(d, f"{f:016x}", least[part[i]]) for i, (d, f) in enumerate(rows)], key=lambda r: f"Row(doc_id={r[0]}, fingerprint='{r[1]}', component_id={r[2]})")
     assert simhash.near_duplicates(no_docs).collect() == []
+
+
+def test_one_row_of_each_component_stays(spark, odd, no_docs):
+    rows = simhash.one_of_each(odd)
+    assert rows.columns == odd.columns and simhash.one_of_each(no_docs).collect() == []
+    fp = [plain_fingerprint(t or "") for _, t, *_ in ODD]
+    part = plain_components(range(len(fp)), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2])
+    least = {}
+    for i, root in part.items():
+        d = ODD[i][0]
+        least[root] = min(least.get(root, (True, 0)), (d is None, d or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows.collect()) == sorted(least.values())
+
+
+def test_a_third_of_all_rows_are_near_copies(spark):
+    """Near copies and copies of one id: of each group one row stays, ids and texts of others are left alone."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    hot = rng.choices(words, k=600)
+    docs = []
+    for i in range(900):
+        text = list(hot) if i % 3 == 0 else rng.choices(words, k=40)
+        if i % 3 == 0 and i % 2:
+            text[rng.randrange(600)] = "changed"
+        docs.append((i if i % 5 else 0, " ".join(text)))
+    docs += [(None, docs[1][1]), (None, "no id"), (None, "no id")]
+    fp = [plain_fingerprint(t) for _, t in docs]
+    groups = plain_components(sorted(set(fp)), [(a, b) for a in set(fp) for b in set(fp) if a < b and (a ^ b).bit_count() <= 2])
+    least = {}
+    for (d, _), f in zip(docs, fp):
+        least[groups[f]] = min(least.get(groups[f], (True, 0)), (d is None, d or 0))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = simhash.one_of_each(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(least.values()) and len(least) < 620
