@@ -7,58 +7,27 @@ is packed into windows. Every row is decided by its own text, whatever its id: o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hubwright.llm.common import free_name, hex_digest
-from hubwright.llm.exact_dedup import exact_duplicates, normalised
-from hubwright.llm.near_text import near_copies, text_digest
+from hubwright.llm.exact_dedup import unique_rows
 from hubwright.llm.packing import pack_documents
 from hubwright.llm.quality import fit
 from hubwright.llm.secret_scan import redact
-from hubwright.session import stage_table
+from hubwright.llm.simhash import one_of_each
+from hubwright.session import delete_folder, scratch, staged_path
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(fit(docs, ["doc_id"]).keeps(F.col("text")))
 
 
-def one_of_each(docs: DataFrame, rows: DataFrame, digest: Column) -> DataFrame:
-    """One row of each group of ``docs``: one of those with the smallest id, a null id last.
-
-    ``rows``: doc_id, digest and group, one for each row of ``docs``; ``digest``: the same over ``docs``.
-    Only ids and digests of groups with several rows are joined to the texts, and only rows that agree in both are numbered.
-    """
-    counted = stage_table(rows.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    chosen = counted.groupBy("group").agg(F.min(order).alias("first"), F.sum("rows").alias("all")).where("all > 1")
-    several = counted.join(chosen.select("group", "first"), "group")
-    stays = F.expr("doc_id <=> first.doc_id and digest = first.digest")
-    several = stage_table(several.select("doc_id", "digest", stays.alias("stays"), "rows").where("not stays or rows > 1"))
-
-    own = free_name("digest", docs.columns)
-    marked = docs.withColumn(own, digest)
-
-    def same(keys: DataFrame) -> Column:
-        return marked["doc_id"].eqNullSafe(keys["doc_id"]) & (marked[own] == keys["digest"])
-
-    single = marked.join(several, same(several), "left_anti").select(docs.columns)
-    tied = several.where("stays")
-    if tied.isEmpty():
-        return single
-    number = free_name("number", docs.columns)
-    place = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    first = marked.join(tied, same(tied), "left_semi").withColumn(number, place).where(F.col(number) == 1)
-    return single.union(first.select(docs.columns))
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("digest"), F.col("text_sha256").alias("group"))
-    return one_of_each(docs, rows, hex_digest(normalised("text")))
+    return unique_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies share at least 0.8 of their five-word shingles; op5's rule of two bits holds for op5 alone."""
-    return one_of_each(docs, near_copies(docs).withColumnRenamed("component", "group"), text_digest("text"))
+    """One of each SimHash component, by the operator's own shingles and bits."""
+    return one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage_table(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        path = staged_path(spark)
+        with scratch(spark):  # what a stage has staged goes once its output is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
