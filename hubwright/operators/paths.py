@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from hubwright.operators.graph import ID, PropertyGraph
@@ -14,17 +16,18 @@ def expand_path(
     frame: DataFrame,
     rel_type: str,
     shortest: int,
-    longest: int,
+    longest: int | None,
     direction: str = "out",
     from_label: str | None = None,
     to_label: str | None = None,
 ) -> DataFrame:
     """``-[:R*shortest..longest]->`` from the nodes of a frame: ``start_id``, ``end_id``, ``hops``, ``nodes``.
 
-    An edge occurs once per path, a node may recur. Stops when no path grows. All paths are returned, so
-    their number is bounded by ``longest`` alone; walks that go on beyond it end there.
+    An edge occurs once per path, a node may recur. Stops when no path grows; with ``longest`` None nothing else
+    ends a walk, which suits hierarchies. All paths are returned, so where walks branch and meet again their number is bounded by
+    ``longest`` alone; ``reach.reachable`` gives ends and hops without listing them.
     """
-    if not 0 <= shortest <= longest:
+    if shortest < 0 or longest is not None and longest < shortest:
         raise ValueError("need 0 <= shortest <= longest")
     edges = graph.edge(rel_type, from_label, to_label)
     steps = oriented(
@@ -39,7 +42,7 @@ def expand_path(
     found = []
     if shortest == 0:
         found.append(paths.withColumn("hops", F.lit(0)))
-    for hop in range(1, longest + 1):
+    for hop in count(1) if longest is None else range(1, longest + 1):
         paths = cut_lineage(
             paths.join(steps, "end_id")
             .where(~F.array_contains("walked", F.col("edge")))
@@ -55,7 +58,7 @@ def expand_path(
         if hop >= shortest:
             found.append(paths.withColumn("hops", F.lit(hop)))
     if not found:
-        found.append(paths.withColumn("hops", F.lit(longest)).limit(0))
+        found.append(paths.withColumn("hops", F.lit(shortest)).limit(0))
     result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)

@@ -15,7 +15,7 @@ from hubwright.session import broadcast_if_small, cut_lineage
 SAMPLE = 100
 
 
-def _source_keys(df: DataFrame, model: Model) -> DataFrame:
+def source_keys(df: DataFrame, model: Model) -> DataFrame:
     """Node key or pair of ends of every source row, NULL where a part is missing."""
 
     def of(names, columns):
@@ -28,7 +28,7 @@ def _source_keys(df: DataFrame, model: Model) -> DataFrame:
     return df.select(of(model.key, model.key).alias(ID))
 
 
-def _graph_keys(graph: PropertyGraph, model: Model) -> DataFrame:
+def graph_keys(graph: PropertyGraph, model: Model) -> DataFrame:
     """Keys the graph has. Nodes of the label with another key property are not this table's."""
     if isinstance(model, JoinModel):
         return graph.edges[model.from_label, model.rel_type, model.to_label].select(*EDGE_ENDS)
@@ -37,10 +37,10 @@ def _graph_keys(graph: PropertyGraph, model: Model) -> DataFrame:
 
 def _tally(df: DataFrame, graph: PropertyGraph, model: Model) -> DataFrame:
     """How often each key occurs in the source and in the graph: one shuffle for both, reduced before it."""
-    source = _source_keys(df, model)
+    source = source_keys(df, model)
     keys = source.columns
     marked = source.withColumn("in_source", F.lit(1)).withColumn("in_graph", F.lit(0)).unionByName(
-        _graph_keys(graph, model).withColumn("in_source", F.lit(0)).withColumn("in_graph", F.lit(1))
+        graph_keys(graph, model).withColumn("in_source", F.lit(0)).withColumn("in_graph", F.lit(1))
     )
     return marked.groupBy(*keys).agg(F.sum("in_source").alias("in_source"), F.sum("in_graph").alias("in_graph"))
 
@@ -102,12 +102,12 @@ def verify_surplus(df: DataFrame, graph: PropertyGraph, model: Model) -> DataFra
 
 def verify_sample(df: DataFrame, graph: PropertyGraph, model: Model, n: int = SAMPLE, seed: int = 0) -> DataFrame:
     """``checked`` random rows of the source and how many are ``missing`` in the graph; none for hashed keys."""
-    keys = _source_keys(df, model).dropna()
+    keys = source_keys(df, model).dropna()
     if not isinstance(model, JoinModel) and model.synthetic:
         keys = keys.limit(0)
     # written once, so that both uses see the same n rows
     picked = cut_lineage(keys.orderBy(F.rand(seed), *keys.columns).limit(n))
-    found = _graph_keys(graph, model).join(broadcast_if_small(picked), picked.columns, "left_semi").distinct()
+    found = graph_keys(graph, model).join(broadcast_if_small(picked), picked.columns, "left_semi").distinct()
     marked = picked.join(found.withColumn("held", F.lit(True)), picked.columns, "left")
     return marked.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("held").isNull()).alias("missing"))
 

@@ -23,7 +23,7 @@ def distinct_cap(row_count: int, max_distinct: int = MAX_DISTINCT, ratio: float
     return min(max_distinct, max(SMALL_TABLE_FLOOR, int(row_count * ratio)))
 
 
-def _short_form(text: Column) -> Column:
+def short_form(text: Column) -> Column:
     """The value itself up to 64 characters, a marked digest beyond; no short value looks like one."""
     return F.when(F.length(text) <= 64, text).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
 
@@ -35,7 +35,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     shuffle, so a frequent value costs one row per task. All values are compared
     as text, long ones by their SHA-256, so that whole documents are not shuffled.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), _short_form(F.col(f"`{c}`").cast("string")).alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), short_form(F.col(f"`{c}`").cast("string")).alias("value")) for c in columns])
     return (
         df.select(F.inline(cells))
         .groupBy("column", "value")

@@ -86,10 +86,11 @@ def _staging(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
-def delete_folder(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder in whatever store it lies; whether it was there."""
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_staged(spark: SparkSession) -> None:

@@ -3,6 +3,9 @@
 Rows are picked up by ``column >= mark``; rows at the mark itself are merged
 again, which changes nothing. Rows whose column is NULL are only seen by a full
 run, and deletes are not carried over: ``verify_surplus`` finds them.
+
+``sync_stream`` takes the rows as a stream instead: each micro-batch becomes one version of a bucketed store, written
+together with its name and mark, so that a batch repeated after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -10,12 +13,14 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from hubwright.functions.values import to_text
 from hubwright.operators.build import build_graph
 from hubwright.operators.graph import ID, PropertyGraph
 from hubwright.operators.upsert import insert_missing, upsert_edges, upsert_nodes
 from hubwright.plans.model import JoinModel, Model
+from hubwright.sources import buckets
 from hubwright.sources.state import read_state, write_state
 from hubwright.sources.tables import TableSpec
 
@@ -109,3 +114,46 @@ def plan_sync(graph: PropertyGraph, spec: TableSpec, model: Model, state_path: s
 def commit_mark(spec: TableSpec, state_path: str, column: str, synced: Synced) -> None:
     """Store the mark once the graph it belongs to is saved."""
     write_state(spec.df.sparkSession, state_path, spec.name, column, synced.high_water)
+
+
+def latest_rows(df: DataFrame, key: tuple[str, ...], column: str) -> DataFrame:
+    """Of each key the row with the greatest ``column``, a NULL being the least; equal ones go by the whole row."""
+    order = F.struct(F.col(f"`{column}`").isNotNull(), F.col(f"`{column}`"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    newest = df.groupBy(*[F.col(f"`{c}`") for c in key]).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_row"))
+    return newest.select("_row.*")
+
+
+def merge_batch(path: str, spec: TableSpec, model: Model, column: str | None = None, name: str = "sync", replace_for_upserted: bool = True):
+    """What a stream calls for each micro-batch: ``foreachBatch(merge_batch(...))``.
+
+    Writes the batch as one version of the store under ``path``. Its name is kept in the same commit, and so is the
+    mark, the greatest ``column`` of this and all earlier batches.
+    """
+
+    def merge(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        if df.isEmpty():
+            return
+        mark = None
+        if column:
+            top = df.agg(F.max(F.col(f"`{column}`")).alias("top"))
+            known = F.lit(buckets.stored_mark(spark, path)).cast(df.schema[column].dataType)
+            mark = high_water(top.select(F.greatest("top", known).alias(column)), column).first()["high_water"]
+            if spec.primary_key:
+                df = latest_rows(df, spec.primary_key, column)
+        buckets.upsert(spark, path, replace(spec, df=df), model, replace_for_upserted, batch=f"{name}-{number}", mark=mark)
+
+    return merge
+
+
+def sync_stream(
+    stream: DataFrame, path: str, spec: TableSpec, model: Model, checkpoint: str, column: str | None = None,
+    name: str = "sync", replace_for_upserted: bool = True,
+) -> StreamingQuery:
+    """Merge all rows that have arrived since the last run into the store under ``path``, then stop.
+
+    ``checkpoint`` remembers what was read, ``name`` must be as lasting as it is: with a new checkpoint give a new name.
+    Of rows with one key in a batch the newest by ``column`` is taken; across batches the later arrival wins.
+    """
+    merge = merge_batch(path, spec, model, column, name, replace_for_upserted)
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
