@@ -137,6 +137,38 @@ def shared_neighbor_counts(
     return pairs if k is None else top_k(pairs, k, "pairs", ["hub_id"])
 
 
+#: Values that an array holds at most: hubs, not entities.
+MOST_COLLECTED = 10_000
+
+
+def _two_steps(
+    graph: PropertyGraph, first: str, second: str, label: str | None, first_target: str | None, second_target: str | None
+) -> tuple[EdgeKey, EdgeKey]:
+    pairs = [
+        (one, two)
+        for one in graph.edge_keys(first, label, first_target)
+        for two in graph.edge_keys(second, label, second_target)
+        if one[0] == two[0]
+    ]
+    if len(pairs) != 1:
+        raise ValueError(f"{len(pairs)} patterns have {first} and {second} from one label; name the labels")
+    return pairs[0]
+
+
+def two_hop_pairs(
+    graph: PropertyGraph,
+    first: str,
+    second: str,
+    label: str | None = None,
+    first_target: str | None = None,
+    second_target: str | None = None,
+) -> DataFrame:
+    """``(a)<-[first]-(x)-[second]->(b)``: each a with each b reached from it, as rows ``start_id``, ``end_id``; ``label`` is that of x."""
+    one, two = _two_steps(graph, first, second, label, first_target, second_target)
+    steps = graph.edges[one].select(SRC, F.col(DST).alias("start_id")).join(graph.edges[two].select(SRC, F.col(DST).alias("end_id")), SRC)
+    return steps.select("start_id", "end_id").distinct()
+
+
 def collect_two_hops(
     graph: PropertyGraph,
     first: str,
@@ -145,23 +177,19 @@ def collect_two_hops(
     label: str | None = None,
     first_target: str | None = None,
     second_target: str | None = None,
+    most: int = MOST_COLLECTED,
 ) -> DataFrame:
     """``(a)<-[first]-(x)-[second]->(b)``: the distinct values of b reached from each a, sorted.
 
-    ``label`` is that of x. One array per a holds the values, so b is meant to be a hub with a limited set of them.
+    One array per a holds the values, so b must be a hub: with more than ``most`` nodes it raises, and
+    ``two_hop_pairs`` gives the same as rows.
     """
-    pairs = [
-        (one, two)
-        for one in graph.edge_keys(first, label, first_target)
-        for two in graph.edge_keys(second, label, second_target)
-        if one[0] == two[0]
-    ]
-    if len(pairs) != 1:
-        raise ValueError(f"{len(pairs)} patterns have {first} and {second} from one label; name the labels")
-    one, two = pairs[0]
-    steps = graph.edges[one].select(SRC, F.col(DST).alias("start_id")).join(graph.edges[two].select(SRC, F.col(DST).alias("end_id")), SRC)
-    reached = steps.select("start_id", "end_id").distinct()
-    names = graph.node(two[2]).select(F.col(ID).alias("end_id"), value)
+    _, two = _two_steps(graph, first, second, label, first_target, second_target)
+    hubs = graph.node(two[2])
+    if hubs.limit(most + 1).count() > most:
+        raise ValueError(f"{two[2]} has more than {most} nodes; take two_hop_pairs")
+    reached = two_hop_pairs(graph, first, second, label, first_target, second_target)
+    names = hubs.select(F.col(ID).alias("end_id"), value)
     return reached.join(names, "end_id").groupBy("start_id").agg(F.array_sort(F.collect_set(value)).alias("reached"))
 
 

@@ -7,6 +7,8 @@ from collections import Counter
 from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from hubwright.functions.naming import label_of, rel_type_of_column, rel_type_of_table
 from hubwright.plans.profile import MAX_DISTINCT, MAX_RATIO, dimension_columns
 from hubwright.sources.tables import ForeignKey, TableSpec
@@ -213,14 +215,13 @@ MODEL_ROW_SCHEMA = (
 )
 
 
-def save_model(model: Model, path: str | Path) -> None:
-    """Write the model where a person can edit it before the load."""
+def to_json(model: Model) -> str:
     mode = "join" if isinstance(model, JoinModel) else "node"
-    Path(path).write_text(json.dumps({"mode": mode, **asdict(model)}, indent=2) + "\n")
+    return json.dumps({"mode": mode, **asdict(model)}, indent=2)
 
 
-def load_model(path: str | Path) -> Model:
-    data = json.loads(Path(path).read_text())
+def from_json(text: str) -> Model:
+    data = json.loads(text)
     kind = JoinModel if data.pop("mode") == "join" else NodeModel
     relationships = data.pop("relationships", None)
     fields = {k: tuple(v) if isinstance(v, list) else v for k, v in data.items()}
@@ -229,3 +230,21 @@ def load_model(path: str | Path) -> Model:
             Relationship(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items()}) for r in relationships
         )
     return kind(**fields)
+
+
+def save_model(model: Model, path: str | Path) -> None:
+    """Write the model where a person can edit it before the load."""
+    Path(path).write_text(to_json(model) + "\n")
+
+
+def load_model(path: str | Path) -> Model:
+    return from_json(Path(path).read_text())
+
+
+def write_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Write the model as a text file into any store that Spark writes to."""
+    spark.createDataFrame([(to_json(model),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_model(spark: SparkSession, path: str) -> Model:
+    return from_json(spark.read.text(path, wholetext=True).first()["value"])

@@ -234,12 +234,12 @@ def _(spark, sf):
     "expand_path",
     f"""WITH RECURSIVE e AS ({STAFF_EDGES}), p(start_id, end_id, hops, nodes) AS (
           SELECT src_id, dst_id, 1, src_id || '>' || dst_id FROM e
-          UNION ALL SELECT start_id, e.dst_id, hops + 1, nodes || '>' || e.dst_id FROM p JOIN e ON e.src_id = p.end_id WHERE hops < 6)
+          UNION ALL SELECT start_id, e.dst_id, hops + 1, nodes || '>' || e.dst_id FROM p JOIN e ON e.src_id = p.end_id)
         SELECT start_id, end_id, hops, nodes FROM p""",
 )
 def _(spark, sf):
     graph = t.staff_graph(spark, sf)
-    walked = paths.expand_path(graph, graph.node("Staff"), "HAS_MANAGER", 1, 6)
+    walked = paths.expand_path(graph, graph.node("Staff"), "HAS_MANAGER", 1, None)
     return walked.select("start_id", "end_id", "hops", F.array_join("nodes", ">").alias("nodes"))
 
 
@@ -282,20 +282,21 @@ def _(spark, sf):
 
 @query(
     "bounded_result",
-    """SELECT count(*) AS row_count, (SELECT count(*) FROM nation) > 20 AS truncated, max(n_name) AS last_name
-       FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 20)""",
+    """SELECT count(*) AS row_count, (SELECT count(*) FROM orders) > 200 AS truncated, max(o_totalprice) AS highest, max(_id) AS last_id
+       FROM (SELECT o_totalprice, 'o_orderkey=' || o_orderkey AS _id FROM orders ORDER BY o_totalprice DESC, _id LIMIT 200)""",
 )
 def _(spark, sf):
-    result = results.bounded(t.graph(spark, sf).node("Nation").select("n_name").orderBy("n_name"), 20)
-    row = (result.row_count, result.truncated, max(r["n_name"] for r in result.rows))
-    return spark.createDataFrame([row], "row_count bigint, truncated boolean, last_name string")
+    orders = t.graph(spark, sf).node("Order").select(ID, "o_totalprice")
+    result = results.bounded(orders.orderBy(F.desc("o_totalprice"), ID), 200)
+    row = (result.row_count, result.truncated, max(r["o_totalprice"] for r in result.rows), max(r[ID] for r in result.rows))
+    return spark.createDataFrame([row], "row_count bigint, truncated boolean, highest double, last_id string")
 
 
-@query("node_results", "SELECT 'n_nationkey=' || n_nationkey AS _id, 'Nation' AS label, n_nationkey::VARCHAR AS key_text, n_name AS name FROM nation")
+@query("node_results", "SELECT 'c_custkey=' || c_custkey AS _id, 'Customer' AS label, c_custkey::VARCHAR AS key_text, c_name AS name FROM customer")
 def _(spark, sf):
-    nodes = results.nodes_as_result(t.graph(spark, sf).node("Nation"), "Nation")
+    nodes = results.nodes_as_result(t.graph(spark, sf).node("Customer"), "Customer")
     props = F.col("node.props")
-    return nodes.select(ID, "node.label", props["n_nationkey"].alias("key_text"), props["n_name"].alias("name"))
+    return nodes.select(ID, "node.label", props["c_custkey"].alias("key_text"), props["c_name"].alias("name"))
 
 
 @query(
