@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hubwright.session import stage_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,3 +35,21 @@ def free_name(wanted: str, taken: list[str]) -> str:
 
 def hex_digest(value: Column) -> Column:
     return F.sha2(value, 256)
+
+
+#: Keys that can be hot at most: each has more than that part of all rows.
+MOST_HOT = 1 << 10
+
+
+def told_apart(rows: DataFrame, keys: dict[str, Column], lot: Column, name: str, least: int) -> DataFrame:
+    """``rows`` with a column ``name``: ``lot`` where more than ``least`` rows, and more than a MOST_HOT-th of all, agree in ``keys``, else 0.
+
+    So rows that repeat can be dealt to several groups by a hash of their keys and of it.
+    """
+    keyed = rows.select(*[value.alias(f"_key_{k}") for k, value in keys.items()])
+    counts = keyed.groupBy(*keyed.columns).count()
+    # fewer than MOST_HOT rows, as each stands for more than that part of all
+    hot = F.broadcast(stage_table(counts.where(F.col("count") > max(least, rows.count() // MOST_HOT)).drop("count").withColumn("_hot", F.lit(True))))
+    same = reduce(lambda a, b: a & b, [value.eqNullSafe(hot[f"_key_{k}"]) for k, value in keys.items()])
+    columns = [rows[f"`{c}`"] for c in rows.columns]
+    return rows.join(hot, same, "left").select(*columns, F.when(F.col("_hot"), lot).otherwise(0).cast("long").alias(name))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from hubwright.llm import bpe
-from hubwright.llm.common import or_empty, table, values
+from hubwright.llm.common import or_empty, table, told_apart, values
 from hubwright.session import stage_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -177,14 +177,24 @@ def pack(pieces: DataFrame, doc_id: str = "doc_id", window: int = WINDOW, group_
         at, offset = best_fit_decreasing(group["length"].to_numpy(), window)
         return group.assign(sequence_id=(np.int64(number) << 32) + at, offset=offset)
 
-    # the piece's own values take part, so that rows of one repeated document spread too
-    group = F.pmod(F.xxhash64(doc_id, "doc_tokens", "ids_crc32"), F.lit(groups))
-    return pieces.drop("ids").withColumn("pack_group", group).groupBy("pack_group").applyInPandas(run, schema)
+    # pieces of one text spread by their own values; those of a text that many rows repeat are told apart by their place in the files
+    own = {c: F.col(f"`{c}`") for c in (doc_id, "doc_tokens", "ids_crc32")}
+    told = told_apart(pieces.drop("ids"), own, F.monotonically_increasing_id(), "pack_lot", group_docs)
+    group = F.pmod(F.xxhash64(*own.values(), "pack_lot"), F.lit(groups))
+    return told.withColumn("pack_group", group).drop("pack_lot").groupBy("pack_group").applyInPandas(run, schema)
 
 
 def windows(pieces: DataFrame, packed: DataFrame, doc_id: str = "doc_id", window: int = WINDOW, pad: int = 0) -> DataFrame:
-    """The sequences themselves: sequence_id and ids, padded to ``window``. ``pieces`` with ids, one row per document and start."""
-    placed = packed.join(pieces.select(doc_id, "start", "ids"), [doc_id, "start"])
+    """The sequences themselves: sequence_id and ids, padded to ``window``. ``pieces`` with ids.
+
+    Pieces with the same values hold the same ids, so one of them stands for all, and rows that repeat or have no id find theirs.
+    """
+    same = ["start", "length", "ids_crc32", "doc_tokens"]
+    held = pieces.groupBy(doc_id, *same).agg(F.first("ids").alias("ids")).withColumnRenamed(doc_id, "_owner")
+    of = packed[doc_id].eqNullSafe(held["_owner"])
+    for c in same:
+        of = of & (packed[c] == held[c])
+    placed = packed.join(held, of).select("sequence_id", "offset", "ids")
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     ids = F.flatten(F.transform(parts, lambda p: p["ids"]))
     filled = F.concat(ids, F.array_repeat(F.lit(pad), window - F.size(ids)))

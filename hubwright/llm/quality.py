@@ -5,8 +5,9 @@
    there are at most 3 ** len(LABELLERS) of them, whatever the corpus; the counts are all that
    expectation-maximisation needs. It estimates each labeller's rate of each vote
    among good and among bad documents, and from these each pattern's posterior.
-3. The posteriors are the labels on which a linear scorer of hashed features is
-   trained, on a sample of about FIT_DOCS documents chosen by a hash.
+3. The posteriors are the labels on which a linear scorer of hashed features is trained. Its sample takes from each
+   pattern its share of FIT_DOCS different documents, LEAST_DOCS at least, with the smallest hashes; each weighs as many
+   documents as it stands for. So a rare kind of defect takes part at any size.
 4. The scorer judges every document; those with a score below REJECT_BELOW are rejected.
 
 No given labels are used. Defined results: a null text counts as empty; an empty text gets no votes
@@ -25,12 +26,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hubwright.llm.common import or_empty, table, values
+from hubwright.session import stage_table
 
-#: Documents on which the scorer is fitted, on average; the only bound on what a fit reads.
-FIT_DOCS = 4096
+#: Documents on which the scorer is fitted, and how many a pattern adds to them at least: FIT_DOCS + LEAST_DOCS for each
+#: pattern bounds what a fit reads.
+FIT_DOCS, LEAST_DOCS = 4096, 8
 #: Odds of two to one against a document: to lose a clean one costs more than to keep a bad one.
 REJECT_BELOW = 1 / 3
 #: Hashed features.
@@ -185,14 +188,17 @@ def features_of(seen: Signals, words: Counter) -> tuple[np.ndarray, np.ndarray]:
     return used, np.sqrt(total[used] / (seen.words + SMOOTHING))
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 200, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch Adam: weights and offset. Both classes weigh the same."""
+def fit_scorer(
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, stands_for: np.ndarray, rounds: int = 200, penalty: float = 1e-4
+) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by full-batch Adam: weights and offset. Both classes weigh the same, a row as many as it stands for."""
     weights, offset = np.zeros(FEATURES), 0.0
     if not len(rows) or labels.min() > 0.5 or labels.max() < 0.5:
         return weights, 1.0 if not len(rows) or labels.min() > 0.5 else -1.0
     owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     at, value = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
-    share = labels / labels.sum() / 2 + (1 - labels) / (1 - labels).sum() / 2
+    good, bad = labels * stands_for, (1 - labels) * stands_for
+    share = good / good.sum() / 2 + bad / bad.sum() / 2
     m, v = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     for step in range(1, rounds + 1):
         score = np.bincount(owner, value * weights[at], len(rows)) + offset
@@ -246,13 +252,20 @@ class Model:
 
 
 def fit(docs: DataFrame, keys: list[str], text: str = "text", fit_docs: int = FIT_DOCS) -> Model:
-    """Label model over all of ``docs``; scorer on a sample of about ``fit_docs`` by a hash of ``keys``."""
-    voted = _mapped(docs, [], text, {"votes": ("string", pa.string())}, lambda t: (votes(t),))
+    """Label model over all of ``docs``; scorer on a sample of each pattern, the smallest hashes of ``keys`` and text."""
+    hashed = docs.select(F.xxhash64(*keys, or_empty(text)).alias("hash"), or_empty(text).alias("text"))
+    voted = stage_table(_mapped(hashed, ["hash"], "text", {"votes": ("string", pa.string())}, lambda t: (votes(t),)))
     counts = dict(voted.groupBy("votes").count().collect())
     posterior = fit_label_model(counts)
 
-    buckets = max(1, sum(counts.values()) // fit_docs)
-    chosen = docs.where(F.pmod(F.xxhash64(*keys), F.lit(buckets)) == 0)
+    total = sum(counts.values())
+    quota = {p: LEAST_DOCS + n * fit_docs // total for p, n in counts.items()}
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(list(quota.items()), "votes string, quota long"))  # one row per pattern
+    place = F.row_number().over(Window.partitionBy("votes").orderBy("hash"))
+    # rows that repeat are one; the constant limit lets each task drop all but that many before the shuffle
+    first = voted.distinct().withColumn("place", place).where(F.col("place") <= fit_docs + LEAST_DOCS)
+    first = F.broadcast(stage_table(first.join(wanted, "votes").where("place <= quota").select("hash")))
+    chosen = hashed.join(first, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text"))
     kinds = {"votes": ("string", pa.string()), "at": ("binary", pa.binary()), "value": ("binary", pa.binary())}
 
     def example(text: str) -> tuple[str, bytes, bytes]:
@@ -260,11 +273,13 @@ def fit(docs: DataFrame, keys: list[str], text: str = "text", fit_docs: int = FI
         at, value = features_of(seen, words)
         return votes_on(seen), at.astype("<i4").tobytes(), value.astype("<f8").tobytes()
 
-    sample = _mapped(chosen, [], text, kinds, example).collect()
+    sample = _mapped(chosen, [], "text", kinds, example).collect()
     sample.sort(key=lambda r: (r["votes"], r["at"], r["value"]))  # a repeated run adds up in the same order
+    taken = Counter(r["votes"] for r in sample)
     weights, offset = fit_scorer(
         [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f8")) for r in sample],
         np.array([posterior[r["votes"]] for r in sample]),
+        np.array([counts[r["votes"]] / taken[r["votes"]] for r in sample]),
     )
     return Model(posterior, weights, offset)
 

@@ -19,12 +19,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hubwright.llm.common import free_name, table
+from hubwright.llm.common import free_name, table, told_apart
 from hubwright.session import staged_path
 
 SHARDS, SEED = 40, 20_240_501
 #: Text bytes of a bucket, on average; a task holds one bucket.
 BUCKET_BYTES = 32 << 20
+#: Rows of one id and size from which on they are dealt to several buckets.
+LEAST_HOT = 1 << 10
 #: A record's bytes beside its text.
 RECORD_BYTES = 16
 
@@ -53,9 +55,12 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = SHARDS, seed: int
     shard_name, slot_name = free_name("shard", docs.columns), free_name("slot", docs.columns)
     bucket, crc = free_name("bucket", docs.columns), free_name("text_crc32", docs.columns)
 
+    lot, whole = free_name("lot", docs.columns), free_name("row_hash", docs.columns)
     total_bytes = docs.agg(F.sum(record_size(text))).first()[0] or 0
     buckets = max(1, -(-total_bytes // bucket_bytes))
-    scattered = docs.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), doc_id, record_size(text)), F.lit(buckets)))
+    # many rows with one id and size are told apart by the task that reads them, which a repeated task does alike
+    told = told_apart(docs, {"id": docs[doc_id], "size": record_size(text)}, F.spark_partition_id() + 1, lot, LEAST_HOT)
+    scattered = told.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), doc_id, record_size(text), lot), F.lit(buckets))).drop(lot)
     # counts of buckets, not of rows: their number is the corpus over a task's memory
     counts = np.zeros(buckets, np.int64)
     for number, n in scattered.groupBy(bucket).count().collect():
@@ -64,15 +69,17 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = SHARDS, seed: int
 
     def shuffle(rows: pa.Table) -> pa.Table:
         number = rows.column(bucket)[0].as_py()
-        rows = rows.take(pc.sort_indices(rows, [(doc_id, "ascending"), (crc, "ascending")]))
+        rows = rows.take(pc.sort_indices(rows, [(doc_id, "ascending"), (crc, "ascending"), (whole, "ascending")]))
         order = np.arange(len(rows))
         np.random.default_rng([seed, number]).shuffle(order)  # Fisher-Yates
         shard, slot = cut(starts[number] + np.arange(len(rows)), total, shards)
-        rows = rows.drop_columns([bucket, crc]).take(pa.array(order))
+        rows = rows.drop_columns([bucket, crc, whole]).take(pa.array(order))
         return rows.append_column(shard_name, pa.array(shard.astype(np.int32))).append_column(slot_name, pa.array(slot))
 
     schema = docs.withColumn(shard_name, F.lit(0)).withColumn(slot_name, F.lit(0).cast("long")).schema
-    shuffled = scattered.withColumn(crc, text_crc32(text)).groupBy(bucket).applyInArrow(shuffle, schema)
+    # rows that agree in all columns may change places, others are put in one order
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    shuffled = scattered.withColumn(crc, text_crc32(text)).withColumn(whole, hashed).groupBy(bucket).applyInArrow(shuffle, schema)
     shuffled.sortWithinPartitions(shard_name, slot_name).write.partitionBy(shard_name).parquet(path)
     # with its schema: an empty table leaves no file to read it from
     return spark.read.schema(schema).parquet(path)

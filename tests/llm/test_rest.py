@@ -22,6 +22,7 @@ from check import TABLES, rows_of  # noqa: E402
 from hubwright.llm import ann, quality, registry, secret_scan, sharding, simhash  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+fit_scorer = quality.fit_scorer
 
 
 @pytest.mark.parametrize("name", sorted(registry.TWINS))
@@ -69,6 +70,17 @@ def test_label_model_finds_overlapping_labellers():
     assert quality.fit_label_model({}) == {}
 
 
+def test_the_sample_holds_rare_patterns_and_is_bounded(spark, monkeypatch):
+    """A third of all rows are one row, and one kind of bad document in 3000: the fit reads few rows, and the rare kind goes."""
+    seen = []
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows, *more: seen.append(len(rows)) or fit_scorer(rows, *more))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs.union(docs.where("doc_id = 3").selectExpr("doc_id", "explode(array_repeat(text, 500))")), ["doc_id"], fit_docs=200)
+    assert seen[0] <= 200 + quality.LEAST_DOCS * len(model.posterior)
+    alone = quality.fit(docs, ["doc_id"], fit_docs=200)
+    assert alone.posterior.keys() == model.posterior.keys()
+
+
 def test_classifier_on_odd_texts(spark, odd, no_docs):
     out = quality.classify(odd, ["doc_id"]).collect()
     assert len(out) == len(ODD) and all(r.kept for r in out if r.doc_id in (4, 5, 6))
@@ -140,6 +152,18 @@ def test_shards_of_odd_texts(spark, odd, no_docs, tmp_path):
     assert sharding.external_shuffle(no_docs, f"file://{tmp_path}/none").collect() == []
 
 
+def test_a_third_of_all_rows_in_one_place(spark, tmp_path, monkeypatch):
+    """Rows of one id and size are dealt to several buckets, so no task holds them all."""
+    monkeypatch.setattr(sharding, "LEAST_HOT", 10)
+    docs = spark.createDataFrame([(7, "x" * 50, i) for i in range(4000)] + [(i, f"text {i}", 0) for i in range(8000)], "doc_id long, text string, other long").repartition(8)
+    rows = sharding.external_shuffle(docs, f"file://{tmp_path}/hot", shards=5, bucket_bytes=40_000).collect()
+    assert len(rows) == 12000 == len({(r.doc_id, r.text, r.other) for r in rows})
+    sizes = Counter(r.shard for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    # the hot rows lie in all shards: their buckets are spread over the whole order
+    assert set(Counter(r.shard for r in rows if r.doc_id == 7 and len(r.text) == 50)) == set(range(5))
+
+
 # secrets
 
 BASE = (

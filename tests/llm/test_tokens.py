@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -112,3 +112,16 @@ def test_packing_of_odd_texts(spark, odd, no_docs):
     full = packing.windows(pieces.where("doc_id = 8"), packed.where("doc_id = 8"), window=64).collect()
     assert sum(r.ids.count(1) for r in full) == 1 and {len(r.ids) for r in full} == {64}
     assert packing.pack_documents(no_docs).collect() == []
+
+
+def test_a_third_of_all_rows_repeat(spark):
+    """Pieces of one repeated row are dealt to many groups, and each window is found again with all its ids."""
+    docs = spark.createDataFrame([(1, "the same text again")] * 3000 + [(None, "no id")] * 3000 + [(i, f"text {i}") for i in range(2, 3000)], "doc_id long, text string")
+    pieces = packing.stage_table(packing.tokenize(docs.repartition(4), public_tokenizers.path(packing.TOKENIZER), window=64, with_ids=True))
+    packed = packing.stage_table(packing.pack(pieces, window=64, group_docs=500))
+    assert packed.count() == pieces.count() == 8998
+    groups = Counter(r.sequence_id >> 32 for r in packed.collect())
+    assert len(groups) > 10 and max(groups.values()) < 1500
+    full = packing.windows(pieces, packed, window=64)
+    ends = full.selectExpr("size(filter(ids, x -> x = 1)) AS n").groupBy().sum("n").first()[0]
+    assert ends == 8998 and full.where("size(ids) <> 64").isEmpty()
