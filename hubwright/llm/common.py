@@ -41,15 +41,29 @@ def hex_digest(value: Column) -> Column:
 MOST_HOT = 1 << 10
 
 
-def told_apart(rows: DataFrame, keys: dict[str, Column], lot: Column, name: str, least: int) -> DataFrame:
-    """``rows`` with a column ``name``: ``lot`` where more than ``least`` rows, and more than a MOST_HOT-th of all, agree in ``keys``, else 0.
+#: Copies of a row that one task makes anew.
+COPIES_AT_ONCE = 1 << 10
 
-    So rows that repeat can be dealt to several groups by a hash of their keys and of it.
+
+def told_apart(rows: DataFrame, keys: dict[str, Column], name: str, least: int) -> DataFrame:
+    """``rows`` with a column ``name``, by which rows that agree in ``keys`` can be dealt to several groups.
+
+    It is 0, but where more than ``least`` rows, and more than a MOST_HOT-th of all, have one key. Such rows get a hash of all
+    their columns, and rows that agree in all of them are made one, counted, and made anew with a number each. So the
+    value depends on the rows alone and not on how they were partitioned, and a repeated task deals them alike.
     """
     keyed = rows.select(*[value.alias(f"_key_{k}") for k, value in keys.items()])
     counts = keyed.groupBy(*keyed.columns).count()
     # fewer than MOST_HOT rows, as each stands for more than that part of all
-    hot = F.broadcast(stage_table(counts.where(F.col("count") > max(least, rows.count() // MOST_HOT)).drop("count").withColumn("_hot", F.lit(True))))
+    hot = F.broadcast(stage_table(counts.where(F.col("count") > max(least, rows.count() // MOST_HOT)).drop("count")))
+    none = F.lit(0).cast("long").alias(name)
+    if hot.isEmpty():
+        return rows.select("*", none)
     same = reduce(lambda a, b: a & b, [value.eqNullSafe(hot[f"_key_{k}"]) for k, value in keys.items()])
-    columns = [rows[f"`{c}`"] for c in rows.columns]
-    return rows.join(hot, same, "left").select(*columns, F.when(F.col("_hot"), lot).otherwise(0).cast("long").alias(name))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    copies, chunk, number = (free_name(n, rows.columns) for n in ("_copies", "_chunk", "_number"))
+    counted = rows.join(hot, same, "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias(copies))
+    chunks = counted.withColumn(chunk, F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / COPIES_AT_ONCE))))
+    first = F.col(chunk) * COPIES_AT_ONCE
+    anew = chunks.repartition(chunk).withColumn(number, F.explode(F.sequence(first, F.least(first + COPIES_AT_ONCE, F.col(copies)) - 1)))
+    return rows.join(hot, same, "left_anti").select("*", none).unionByName(anew.select(*columns, F.xxhash64(*columns, number).alias(name)))

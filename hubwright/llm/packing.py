@@ -177,9 +177,9 @@ def pack(pieces: DataFrame, doc_id: str = "doc_id", window: int = WINDOW, group_
         at, offset = best_fit_decreasing(group["length"].to_numpy(), window)
         return group.assign(sequence_id=(np.int64(number) << 32) + at, offset=offset)
 
-    # pieces of one text spread by their own values; those of a text that many rows repeat are told apart by their place in the files
+    # pieces of one text spread by their own values; those that many rows repeat are told apart
     own = {c: F.col(f"`{c}`") for c in (doc_id, "doc_tokens", "ids_crc32")}
-    told = told_apart(pieces.drop("ids"), own, F.monotonically_increasing_id(), "pack_lot", group_docs)
+    told = told_apart(pieces.drop("ids"), own, "pack_lot", group_docs)
     group = F.pmod(F.xxhash64(*own.values(), "pack_lot"), F.lit(groups))
     return told.withColumn("pack_group", group).drop("pack_lot").groupBy("pack_group").applyInPandas(run, schema)
 

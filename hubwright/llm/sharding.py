@@ -58,8 +58,8 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = SHARDS, seed: int
     lot, whole = free_name("lot", docs.columns), free_name("row_hash", docs.columns)
     total_bytes = docs.agg(F.sum(record_size(text))).first()[0] or 0
     buckets = max(1, -(-total_bytes // bucket_bytes))
-    # many rows with one id and size are told apart by the task that reads them, which a repeated task does alike
-    told = told_apart(docs, {"id": docs[doc_id], "size": record_size(text)}, F.spark_partition_id() + 1, lot, LEAST_HOT)
+    # many rows with one id and size are told apart
+    told = told_apart(docs, {"id": F.col(f"`{doc_id}`"), "size": record_size(text)}, lot, LEAST_HOT)
     scattered = told.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), doc_id, record_size(text), lot), F.lit(buckets))).drop(lot)
     # counts of buckets, not of rows: their number is the corpus over a task's memory
     counts = np.zeros(buckets, np.int64)
