@@ -8,7 +8,8 @@
    goes into the list of its nearest centroid and, near a boundary, into those of others that are
    nearly as near.
 4. A query probes the lists whose centroids are within a ratio of the nearest one's distance. Their number
-   is capped by a share of all lists, so that it grows with the table; all centroids are compared for it.
+   is capped by a share of all lists, so that it grows with the table, and the beam is as wide. Where vectors have no clusters, as
+   Gaussian ones, the ratio leaves out hardly any list and the cap decides.
 5. Lists that outgrow their share are split by a hash, and a query visits all parts. Scores are
    exact cosines of the original vectors in double precision.
 
@@ -99,15 +100,6 @@ class CentroidGraph:
         parts = [self._beams(queries[at : at + batch], min(beam, len(self.centroids))) for at in range(0, len(queries), batch)]
         return np.concatenate([i for i, _ in parts]), np.concatenate([d for _, d in parts])
 
-    def scan(self, queries: np.ndarray, most: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """As ``search``, but exact, for more centroids than a beam holds."""
-        found = []
-        for at in range(0, len(queries), batch):
-            sims = queries[at : at + batch] @ self.centroids.T
-            ids = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-            found.append((ids, np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, ids, axis=1)))))
-        return np.concatenate([i for i, _ in found]), np.concatenate([d for _, d in found])
-
     def _beams(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         rows, n = np.arange(len(q))[:, None], len(self.centroids)
         ids = np.broadcast_to(self.entries, (len(q), len(self.entries))).copy()
@@ -118,9 +110,9 @@ class CentroidGraph:
         while True:
             order = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
             ids, sims, opened = ids[rows, order], sims[rows, order], opened[rows, order]
-            # the three best that no beam has opened yet; -inf pads rows that are done
+            # the best that no beam has opened yet, more at once in a wide beam; -inf pads rows that are done
             waiting = np.where(opened, -np.inf, sims)
-            pick = np.argsort(-waiting, axis=1, kind="stable")[:, :3]
+            pick = np.argsort(-waiting, axis=1, kind="stable")[:, : max(3, beam // 16)]
             live = np.isfinite(waiting[rows, pick])
             if not live.any():
                 break
@@ -149,7 +141,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     """vec, key (its smallest id) and ids, the ``keep`` smallest; copies are cut to those in each task, before the shuffle."""
     place = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))
-    few = rows.withColumn("place", place).where(F.col("place") <= keep)
+    few = rows.distinct().withColumn("place", place).where(F.col("place") <= keep)
     return few.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("vec", F.col("ids")[0].alias("key"), "ids")
 
 
@@ -163,8 +155,17 @@ def train(distinct: DataFrame, total: int, dims: int) -> CentroidGraph:
     lists = max(1, min(MOST_LISTS, total // LIST_VECTORS))
     wanted = max(1, min(SAMPLE_VECTORS * lists, SAMPLE_NUMBERS // dims))
     share = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < int(min(1.0, wanted / total) * (1 << 20)) + 1
-    rows = sorted(distinct.where(share).select("key", "vec").collect())
-    return CentroidGraph.build(balanced_centroids(unit(np.array([r["vec"] for r in rows], np.float64)), lists))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the driver gets bytes, not lists of numbers
+        for batch in batches:
+            made = unit(_matrix(batch.column(1))).astype("<f4") if batch.num_rows else np.empty((0, dims), "<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in made], pa.binary())], ["key", "numbers"])
+
+    kind = distinct.schema["key"].dataType.simpleString()
+    rows = sorted(distinct.where(share).select("key", "vec").mapInArrow(packed, f"key {kind}, numbers binary").collect())
+    sample = np.frombuffer(b"".join(bytes(r["numbers"]) for r in rows), "<f4").reshape(len(rows), dims)
+    return CentroidGraph.build(balanced_centroids(unit(sample.astype(np.float64)), lists))
 
 
 def most_probes(lists: int) -> int:
@@ -174,7 +175,7 @@ def most_probes(lists: int) -> int:
 
 def chosen_lists(vectors: np.ndarray, graph: CentroidGraph, ratio: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each unit vector its nearest lists, and which of them are taken."""
-    lists, far = graph.scan(vectors, most) if most > BEAM else graph.search(vectors, BEAM)
+    lists, far = graph.search(vectors, max(BEAM, most))
     take = far <= ratio * far[:, :1] + 1e-6
     take[:, :least] = True
     take[:, most:] = False
@@ -214,8 +215,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     sizes = F.broadcast(stage_table(sizes))  # MOST_LISTS rows at most
     salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     postings = postings.join(sizes, "list").withColumn("part", salt).drop("parts")
-    asked = stage_table(asked.withColumn("query", F.min("id").over(Window.partitionBy("vec"))))
-    probes = place(asked.groupBy("vec").agg(F.min("id").alias("query")), graph, PROBE_RATIO, LEAST_PROBES, most_probes(len(graph.centroids)))
+    # queries of one vector are asked once, under a name that the vector gives: no window holds them all
+    asked = stage_table(asked.withColumn("query", F.sha1(F.concat_ws(",", F.transform("vec", lambda x: (x + 0).cast("string"))))))
+    probes = place(asked.groupBy("query").agg(F.first("vec").alias("vec")).select("vec", "query"), graph, PROBE_RATIO, LEAST_PROBES, most_probes(len(graph.centroids)))
     probes = probes.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def compare(members: pa.Table, probing: pa.Table) -> pa.Table:
@@ -236,10 +238,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
                     out_id += [i for _, i in best]
                     out_score += [-s for s, _ in best]
         kind = members.column("key").type
-        return pa.table({"query": pa.array(out_query, kind), "vec_id": pa.array(out_id, kind), "score": pa.array(out_score, pa.float64())})
+        return pa.table({"query": pa.array(out_query, pa.string()), "vec_id": pa.array(out_id, kind), "score": pa.array(out_score, pa.float64())})
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = postings.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(compare, f"query {kind}, vec_id {kind}, score double")
+    found = postings.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(compare, f"query string, vec_id {kind}, score double")
     # a vector may have been met in several lists
     found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     order = [F.desc("score"), F.asc("vec_id")]
