@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
@@ -29,6 +30,13 @@ def token_sort(column: Column) -> Column:
     return F.array_join(F.array_sort(tokens), " ")
 
 
+#: Letters of the shorter string up to which a batch is scored as one matrix; one longer is a pair of its own, whose
+#: bits are one whole number.
+MATRIX_LETTERS = 256
+#: Cells of the matrices that a batch is cut to.
+MATRIX_CELLS = 1 << 22
+
+
 def _common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine operation per character of b."""
     places: dict[str, int] = {}
@@ -42,15 +50,90 @@ def _common_length(a: str, b: str) -> int:
     return len(a) - open_bits.bit_count()
 
 
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points as a matrix, one row per text, and the lengths; what lies beyond a text's end is 0."""
+    lengths = np.array([len(t) for t in texts])
+    width = max(int(lengths.max(initial=0)), 1)
+    joined = "".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(joined, np.uint32).reshape(len(texts), width), lengths
+
+
+def _common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """``_common_length`` of many pairs at once: loops run over positions, not over pairs. ``a`` has MATRIX_LETTERS letters at most."""
+    order = np.argsort([-len(t) for t in b], kind="stable")
+    (x, x_len), (y, y_len) = _letters([a[i] for i in order]), _letters([b[i] for i in order])
+    words, rows = -(-x.shape[1] // 64), np.arange(len(a))
+    known, x_at = np.unique(x, return_inverse=True)
+    if len(a) > 1 and len(a) * (len(known) + 1) * words > MATRIX_CELLS:  # scripts with many letters
+        half = len(a) // 2
+        return np.concatenate([_common_lengths(a[:half], b[:half]), _common_lengths(a[half:], b[half:])])
+    x_at = x_at.reshape(x.shape)
+    y_at = np.searchsorted(known, y)
+    y_at[known[np.minimum(y_at, len(known) - 1)] != y] = len(known)
+    y_at = np.minimum(y_at, len(known))
+    # for each pair and letter the places it has in a, as bits
+    places = np.zeros((len(a), len(known) + 1, words), np.uint64)
+    for i in range(x.shape[1]):
+        within = rows[x_len > i]
+        places[within, x_at[within, i], i // 64] |= np.uint64(1 << (i % 64))
+    open_bits = np.full((len(a), words), ~np.uint64(0))
+    for j in range(int(y_len.max(initial=0))):
+        live = int(np.searchsorted(-y_len, -j))  # the pairs whose b goes on, as b falls in length
+        hits = places[rows[:live], y_at[:live, j]]
+        carry = np.zeros(live, bool)
+        for w in range(words):
+            old = open_bits[:live, w]
+            hit = old & hits[:, w]
+            total = old + hit
+            over = total < old
+            total += carry
+            carry = over | (carry & (total == 0))
+            open_bits[:live, w] = total | (old - hit)
+    beyond = 64 * np.arange(words) + 64 - x_len[:, None]  # bits of the word that lie behind the end of a
+    used = np.where(beyond >= 64, np.uint64(0), ~np.uint64(0) >> np.clip(beyond, 0, 63).astype(np.uint64))
+    common = np.empty(len(a), np.int64)
+    common[order] = x_len - np.bitwise_count(open_bits & used).sum(axis=1)
+    return common
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    out = np.zeros(len(pairs), np.int64)
+    by_size: dict[int, list[int]] = {}
+    for i, (x, y) in enumerate(pairs):
+        if len(x) > MATRIX_LETTERS:
+            out[i] = _common_length(x, y)
+        elif x:
+            # like sizes together, so that no matrix is padded to more than twice its letters
+            by_size.setdefault(len(y).bit_length(), []).append(i)
+    for size, found in by_size.items():
+        step = max(1, MATRIX_CELLS >> (size + 4))
+        for at in range(0, len(found), step):
+            part = found[at : at + step]
+            out[part] = _common_lengths([pairs[i][0] for i in part], [pairs[i][1] for i in part])
+    return out
+
+
 def similarity(a: str, b: str) -> float:
     total = len(a) + len(b)
     return 2.0 * _common_length(a, b) / total if total else 1.0
 
 
+def similarities(a: list[str | None], b: list[str | None]) -> list[float | None]:
+    known = [i for i, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None]
+    common = common_lengths([a[i] for i in known], [b[i] for i in known]).tolist()
+    out: list[float | None] = [None] * len(a)
+    for i, length in zip(known, common):
+        total = len(a[i]) + len(b[i])
+        out[i] = 2.0 * length / total if total else 1.0
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Insert/delete similarity ``2*LCS/(len a + len b)`` of two strings, Arrow-batched."""
-    return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(similarities(a.tolist(), b.tolist()), dtype="float64")
 
 
 def within_reach(a: Column, b: Column, threshold: float) -> Column:

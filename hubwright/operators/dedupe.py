@@ -63,29 +63,32 @@ def member_pairs(nodes: DataFrame) -> DataFrame:
     return stars.select(F.col("leader_id").alias("a_id"), F.col(ID).alias("b_id"), F.lit(EXACT_CONFIDENCE).alias("confidence"), F.lit(EXACT).alias("method"))
 
 
-def numbered_copies(nodes: DataFrame) -> DataFrame:
-    """Number the copies of each normal form from 1, in order of (shard, id); single values are left out.
+def _numbered(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``number``, from 1 within each group of ``by``, in order of (shard, order); groups of one row are left out.
 
-    A form that a third of all nodes share would be one window partition. Its
-    copies are numbered within shards of their id's hash instead, and each
-    shard starts where the shards before it end.
+    A group that a third of all rows share would be one window partition. Its rows are numbered within their
+    ``shard`` instead, and each shard starts where the shards before it end. ``rows``: written before, as they are used twice.
     """
-    # written once: both uses below would otherwise normalise all texts again
-    forms = stage_table(_forms(nodes))
-    rows = forms.withColumn("shard", F.substring(F.sha1(F.col(ID).cast("binary")), 1, SHARD_DIGITS))
-    in_form = Window.partitionBy("form")
-    before = in_form.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    before = group.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy("form", "shard")
+        rows.groupBy(*by, "shard")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("copies", F.sum("n").over(in_form))
+        .withColumn("copies", F.sum("n").over(group))
         .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .where("copies > 1")
-        .select("form", "shard", "start")
+        .select(*by, "shard", "start")
     )
-    within = F.row_number().over(Window.partitionBy("form", "shard").orderBy(ID))
-    numbered = rows.join(starts, ["form", "shard"]).withColumn("number", F.col("start") + within)
-    return numbered.select(ID, "form", "number")
+    within = F.row_number().over(Window.partitionBy(*by, "shard").orderBy(*order))
+    return rows.join(starts, [*by, "shard"]).withColumn("number", F.col("start") + within).drop("start", "shard")
+
+
+def numbered_copies(nodes: DataFrame) -> DataFrame:
+    """Number the copies of each normal form from 1, in order of (shard of the id's hash, id); single values are left out."""
+    # written once: both uses would otherwise normalise all texts again
+    forms = stage_table(_forms(nodes))
+    rows = forms.withColumn("shard", F.substring(F.sha1(F.col(ID).cast("binary")), 1, SHARD_DIGITS))
+    return _numbered(rows, ["form"], [ID]).select(ID, "form", "number")
 
 
 def _chunks(nodes: DataFrame, cap: int) -> DataFrame:
@@ -225,8 +228,10 @@ def _same_words(open_nodes: DataFrame, cap: int) -> DataFrame:
     As many as there are nodes. Each node fills up within that window unless its group ends.
     """
     window = 2 * cap + 2
-    order = Window.partitionBy("block", "words").orderBy(F.md5(F.col(ID).cast("binary")), ID)
-    numbered = open_nodes.withColumn("number", F.row_number().over(order) - 1)
+    lot = F.md5(F.col(ID).cast("binary"))
+    # the shard is the start of the digest, so numbers are in the digests' order
+    rows = stage_table(open_nodes.withColumn("shard", F.substring(lot, 1, SHARD_DIGITS)))
+    numbered = _numbered(rows, ["block", "words"], [lot, ID]).withColumn("number", F.col("number") - 1)
     run = F.expr(f"number div {window}")
     x = numbered.withColumn("run", F.explode(F.array(run, run + 1)))
     y = numbered.withColumn("run", run)

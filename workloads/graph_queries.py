@@ -561,6 +561,21 @@ def _(spark, sf):
     return dedupe.bands(pairs, 0.7, 0.73)
 
 
+# the edit distance never exceeds the insert/delete distance, so the screen loses no pair
+@query(
+    "similar_urls",
+    f"""WITH urls AS (SELECT DISTINCT {tokens_sorted('url')} AS text FROM pages WHERE {_NORM.format("url")} <> ''),
+        near AS (SELECT x.text AS a, y.text AS b FROM urls x JOIN urls y ON x.text < y.text
+          AND levenshtein(x.text, y.text) <= floor((1.0::DOUBLE - 0.9) * (length(x.text) + length(y.text)) + 1e-9)),
+        scored AS (SELECT a, b, {ratio('a', 'b')} AS score FROM near)
+        SELECT a, b, score FROM scored WHERE score >= 0.9""",
+)
+def _(spark, sf):
+    """Every pair of similar web addresses of the pages."""
+    pages = dedupe.candidates(t.graph(spark, sf, ("pages",)).node("Page"), "url")
+    return dedupe.value_pairs(pages, 0.9).select("a", "b", "score")
+
+
 # all pairs, best first, one recursion step each: a pair is taken while both ends have places left
 @query(
     "dup_pairs_capped",

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hubwright.operators import adjacency, changes, digest, health, match, reach, snapshot, verify_tree
+from hubwright.operators import adjacency, changes, digest, distances, health, match, reach, snapshot, verify_tree
 from hubwright.operators.build import build_graph, load_summary
 from hubwright.operators.graph import DST, ID, SRC, PropertyGraph
 from hubwright.plans import model as models, sketch
@@ -304,3 +304,23 @@ def _(spark, sf):
     path = staged_path(spark)
     snapshot.snapshot_sink(snapshot.snapshot(t.graph(spark, sf)), path)
     return spark.read.json(f"{path}/links").select("from_label", SRC, "type", "to_label", DST)
+
+
+# the fewest hops between two people of a tree go over the common superior that is nearest to both
+@query(
+    "distances",
+    f"""WITH RECURSIVE e AS ({STAFF_EDGES}), up(start_id, end_id, hops) AS (
+          SELECT 'c_custkey=' || c_custkey, 'c_custkey=' || c_custkey, 0 FROM customer
+          UNION ALL SELECT start_id, e.dst_id, hops + 1 FROM up JOIN e ON e.src_id = up.end_id),
+        pairs AS (SELECT DISTINCT 'c_custkey=' || o_custkey AS a, 'c_custkey=' || (o_orderkey % (SELECT count(*) FROM customer)) AS b FROM orders)
+        SELECT a AS source_id, b AS target_id, min(x.hops + y.hops) AS hops
+        FROM pairs JOIN up x ON x.start_id = a JOIN up y ON y.start_id = b AND y.end_id = x.end_id GROUP BY a, b""",
+)
+def _(spark, sf):
+    """Each order's customer and another one: how far apart they are in the hierarchy."""
+    people = t.read(spark, sf, "customer").count()
+    name = lambda c: F.concat(F.lit("c_custkey="), c.cast("string"))
+    orders = t.read(spark, sf, "orders").select(name(F.col("o_custkey")).alias("a"), name(F.pmod("o_orderkey", F.lit(people))).alias("b"))
+    asked = orders.select(distances.node("Staff", "a").alias("source"), distances.node("Staff", "b").alias("target"))
+    found = distances.distances(t.staff_graph(spark, sf), asked)
+    return found.select(F.col("source.id").alias("source_id"), F.col("target.id").alias("target_id"), "hops")
