@@ -14,7 +14,7 @@ append is the commit. Readers take buckets without deltas as they are, and merge
 A version may carry the name of a batch, by which a repeated batch is known, and the high-water mark that belongs to it.
 
 Edges made of a table's rows are dealt by their source, of which each has few; edges of link tables by both ends, as a
-source of theirs may be hot. The number of buckets is set when a table is first written.
+source of theirs may be hot. The number of buckets is set when a table is first written, and anew when it has outgrown them.
 """
 
 from __future__ import annotations
@@ -125,6 +125,9 @@ def _tables_at(spark: SparkSession, path: str, heads: dict[int, Row], version: i
         name = tuple(r["name"])
         table = tables.setdefault(name, StoredTable(name, r["buckets"], list(r["dealt_by"])))
         folder = Folder(r["version"], r["kind"], f"{path}/{r['folder']}", T.StructType.fromJson(json.loads(r["columns"])))
+        if r["buckets"] != table.buckets:  # dealt anew: what lay in the old buckets is superseded
+            table.buckets = r["buckets"]
+            table.live.clear()
         if folder.kind != VOID and folder.schema not in table.schemas:
             table.schemas.append(folder.schema)
         if r["bucket"] is not None:
@@ -292,11 +295,19 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Property
     return graph
 
 
-def compact(spark: SparkSession, path: str, share: float = DELTA_SHARE, most: int = MOST_DELTAS) -> int | None:
-    """Rewrite overgrown buckets as new bases; the number of the version, or None if there was nothing to do."""
+def compact(spark: SparkSession, path: str, share: float = DELTA_SHARE, most: int = MOST_DELTAS, bucket_rows: int = BUCKET_ROWS) -> int | None:
+    """Rewrite overgrown buckets as new bases; the number of the version, or None if there was nothing to do.
+
+    A table that has grown to twice the rows its buckets are planned for is dealt into more buckets as a whole; as that
+    happens once per doubling, a row is rewritten so a bounded number of times on average.
+    """
     heads = _heads(spark, path)
     version = _Version(spark, path, max(heads, default=0))
     for table in _tables_at(spark, path, heads):
+        rows = sum(n for parts in table.live.values() for folder, n in parts.items() if folder.kind != VOID)
+        if rows > 2 * bucket_rows * table.buckets:
+            version.write(StoredTable(table.name, -(-rows // bucket_rows), table.dealt_by), BASE, _table_frame(spark, table))
+            continue
         buckets = table.overgrown(share, most)
         if buckets:
             version.write(table, BASE, _merged(spark, table, buckets), buckets)

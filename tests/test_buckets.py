@@ -94,6 +94,21 @@ def test_untouched_buckets_keep_their_files(spark, shop, shop_store):
     assert buckets.compact(spark, path, share=100.0) is None
 
 
+def test_a_table_that_has_outgrown_its_buckets_is_dealt_anew(spark, shop, shop_store):
+    graph, path = shop_store
+    buckets.upsert(spark, path, *changed(shop, "id = 1"))
+    graph = merge_load(graph, *changed(shop, "id = 1"))
+    before = {t.name: t.buckets for t in buckets.stored_tables(spark, path)}
+    grown = buckets.compact(spark, path, share=10.0, bucket_rows=8)
+    after = {t.name: t.buckets for t in buckets.stored_tables(spark, path)}
+    # 61 rows as the delta's row counts too; hubs have few rows
+    assert after["Order",] == 8 > 2 * before["Order",] and after["Status",] == before["Status",] == 1
+    same(buckets.load(spark, path), graph)
+    assert {t.name: t.buckets for t in buckets.stored_tables(spark, path, grown - 1)} == before
+    buckets.upsert(spark, path, *changed(shop, "id = 2"))
+    same(buckets.load(spark, path), merge_load(graph, *changed(shop, "id = 2")))
+
+
 def test_an_upsert_reads_nothing_of_the_store(spark, shop, shop_store, monkeypatch):
     _, path = shop_store
     monkeypatch.setattr(buckets, "_select", None)
