@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -78,8 +79,9 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-#: Folders that ``scratch`` has opened, the innermost last.
-_SCRATCH: list[str] = []
+#: The folder that ``scratch`` has opened in a thread. A stream's batches run in a thread of their own, and what other threads
+#: stage meanwhile is not theirs to remove.
+_SCRATCH = threading.local()
 
 
 def _staging(spark: SparkSession) -> str:
@@ -100,18 +102,18 @@ def drop_staged(spark: SparkSession) -> None:
 
 def staged_path(spark: SparkSession) -> str:
     """A new name below the staging folder, for files that live no longer than the application."""
-    return f"{_SCRATCH[-1] if _SCRATCH else _staging(spark)}/{uuid.uuid4().hex}"
+    return f"{getattr(_SCRATCH, 'folder', None) or _staging(spark)}/{uuid.uuid4().hex}"
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is staged inside is removed at the end: write the result to a path made before."""
-    folder = staged_path(spark)
-    _SCRATCH.append(folder)
+    outer, folder = getattr(_SCRATCH, "folder", None), staged_path(spark)
+    _SCRATCH.folder = folder
     try:
         yield
     finally:
-        _SCRATCH.remove(folder)
+        _SCRATCH.folder = outer
         delete_folder(spark, folder)
 
 
