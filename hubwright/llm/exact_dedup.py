@@ -105,7 +105,10 @@ def dealt(rows: DataFrame, value: Column, directory: Directory, hot: DataFrame,
 
     ``rows``: key and whatever ``value`` (the normalised text) and ``found`` read.
     """
-    placed = rows.withColumn("slot", slot(directory.depth)).join(directory.frame(rows.sparkSession), "slot").drop("slot")
+    if directory.depth:
+        placed = rows.withColumn("slot", slot(directory.depth)).join(directory.frame(rows.sparkSession), "slot").drop("slot")
+    else:  # one bucket: nothing to look up
+        placed = rows.withColumn("bucket", F.lit(0).cast("long"))
     # the value is made where the row has come to: a row travels with its text once
     once = placed.join(hot, "key", "left_anti").repartition("bucket").withColumn("value", value)
     groups = once.groupBy("bucket", "key", "value").agg(*found)
