@@ -34,6 +34,8 @@ from hubwright.session import stage_table
 #: Documents on which the scorer is fitted, and how many a pattern adds to them at least: FIT_DOCS + LEAST_DOCS for each
 #: pattern bounds what a fit reads.
 FIT_DOCS, LEAST_DOCS = 4096, 8
+#: How many times as many lots as are taken of a pattern are ranked on average; fewer than are taken is so all but impossible.
+SPARE = 8
 #: Odds of two to one against a document: to lose a clean one costs more than to keep a bad one.
 REJECT_BELOW = 1 / 3
 #: Hashed features.
@@ -260,11 +262,14 @@ def fit(docs: DataFrame, keys: list[str], text: str = "text", fit_docs: int = FI
 
     total = sum(counts.values())
     quota = {p: LEAST_DOCS + n * fit_docs // total for p, n in counts.items()}
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(list(quota.items()), "votes string, quota long"))  # one row per pattern
-    place = F.row_number().over(Window.partitionBy("votes").orderBy("hash"))
-    # rows that repeat are one; the constant limit lets each task drop all but that many before the shuffle
-    first = voted.distinct().withColumn("place", place).where(F.col("place") <= fit_docs + LEAST_DOCS)
-    first = F.broadcast(stage_table(first.join(wanted, "votes").where("place <= quota").select("hash")))
+    # rows that repeat are one
+    different = stage_table(voted.select("votes", "hash", F.col("hash").bitwiseAND((1 << 63) - 1).alias("lot")).distinct())
+    rows = [(r["votes"], quota[r["votes"]], min(1.0, SPARE * quota[r["votes"]] / r["count"])) for r in different.groupBy("votes").count().collect()]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(rows, "votes string, quota long, share double"))  # one row per pattern
+    # of a frequent pattern only the least lots are ranked, SPARE times as many as are taken: their number does not grow with the corpus
+    least = different.join(wanted, "votes").where(F.col("lot") <= F.col("share") * float(1 << 63))
+    place = F.row_number().over(Window.partitionBy("votes").orderBy("lot", "hash"))
+    first = F.broadcast(stage_table(least.withColumn("place", place).where("place <= quota").select("hash")))
     chosen = hashed.join(first, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text"))
     kinds = {"votes": ("string", pa.string()), "at": ("binary", pa.binary()), "value": ("binary", pa.binary())}
 
