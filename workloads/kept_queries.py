@@ -32,7 +32,7 @@ _CHANGED = """SELECT 'o_orderkey=' || o_orderkey AS src_id,
 def _changed_orders(spark: SparkSession, sf: str) -> DataFrame:
     urgent = t.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
     return (
-        urgent.withColumn("o_orderstatus", F.lit("X")).withColumn("o_totalprice", F.col("o_totalprice") * 2).withColumn("o_orderdate", F.lit(None).cast("timestamp_ntz"))
+        urgent.withColumn("o_orderstatus", F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.col("o_totalprice") * 2).withColumn("o_orderdate", F.lit(None).cast("timestamp_ntz"))
     )
 
 
