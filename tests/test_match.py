@@ -6,7 +6,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from hubwright.operators import match
+from hubwright.operators import cooccurrence, match
 from hubwright.operators.build import build_graph
 from hubwright.operators.cooccurrence import co_occurrence
 from hubwright.operators.graph import PropertyGraph
@@ -86,6 +86,46 @@ def test_only_hot_sources(spark):
     assert [tuple(r) for r in found] == brute_together(pairs, 4)
 
 
+def own_sets(targets, sources, each, seed):
+    """Targets that each have their own draw of a few hot sources."""
+    rng = random.Random(seed)
+    return {f"t{i:04}": frozenset(rng.sample(range(sources), each)) for i in range(targets)}
+
+
+def test_pairs_of_sets_by_bound(spark):
+    drawn = own_sets(300, 16, 6, 7)
+    heavy = spark.createDataFrame([(f"s{s}", t) for t, own in drawn.items() for s in own], "src_id string, dst_id string")
+    members = stage_table(cooccurrence._classes(heavy))
+    leaders = members.where("dst_id = leader").drop("dst_id")
+    assert leaders.count() == len(set(drawn.values()))
+    sets = stage_table(heavy.join(leaders.selectExpr("leader AS dst_id"), "dst_id", "left_semi"))
+    names = [r.leader for r in leaders.collect()]
+    shared = {(a, b): len(drawn[a] & drawn[b]) for a, b in combinations(sorted(names), 2)}
+    kept = {}
+    for bound in (1, 3, 5, 6):
+        found = {tuple(r) for r in cooccurrence.set_pairs(sets, leaders, bound).collect()}
+        assert found >= {p for p, n in shared.items() if n >= bound}
+        kept[bound] = len(found)
+    # of some 44,000 pairs with a common source few are left to count
+    assert kept[1] > 0.9 * len(shared) and kept[5] < heavy.count() and kept[6] < 200
+
+
+@pytest.mark.parametrize("k, own_light, planted", [(5, 3, 6), (12, 0, 0), (3, 12, 1), (40, 1, 20)])
+def test_targets_with_their_own_hot_sources(spark, k, own_light, planted):
+    pairs = [(f"s{s}", t) for t, own in own_sets(150, 12, 5, k).items() for s in own]
+    pairs += [(f"x{t}{i}", t) for t in sorted({t for _, t in pairs}) for i in range(own_light)]  # sources of one target alone
+    pairs += [(f"p{j}-{i}", t) for j in range(planted) for i in range(4) for t in (f"t{2 * j:04}", f"t{2 * j + 1:04}")]
+    found = co_occurrence(edges_only(spark, pairs), "R", k=k, hot=20).collect()
+    assert [tuple(r) for r in found] == brute_together(pairs, k)
+
+
+def test_fewer_pairs_than_asked_for_and_none(spark):
+    pairs = [("h", f"d{i}") for i in range(4)] + [("g", "d0"), ("g", "d1")]
+    found = co_occurrence(edges_only(spark, pairs), "R", k=50, hot=1).collect()
+    assert [tuple(r) for r in found] == brute_together(pairs, 50)
+    assert co_occurrence(edges_only(spark, [("h", "d0"), ("g", "d1")]), "R", k=3, hot=0).collect() == []
+
+
 def test_hierarchy(shop):
     graph = graph_of(shop, "employees")
     up = expand_path(graph, graph.node("Employee").where("name = 'Dev A'"), "HAS_MANAGER", 1, 6)

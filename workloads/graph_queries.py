@@ -163,6 +163,11 @@ def _(spark, sf):
     return co_occurrence(t.status_part_graph(spark, sf), "STATUS_PART")
 
 
+@query("co_occurrence_own_sets", _TOGETHER.format(src="l_quantity::INT", dst="'p_partkey=' || l_partkey", table="lineitem"))
+def _(spark, sf):
+    return co_occurrence(t.quantity_part_graph(spark, sf), "QUANTITY_PART")
+
+
 # one edge type that leaves two labels, and ids that both have
 
 @query("shared_type_expand_out", "SELECT 'id=' || o_orderkey AS _id, 'value=' || o_orderpriority AS other_id FROM orders")

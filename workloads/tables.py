@@ -106,6 +106,17 @@ def status_part_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return build_graph([(link, infer_model(link))])
 
 
+def quantity_part_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Line quantities and the parts they occur with: each part has its own set of some twenty of fifty sources."""
+    linked = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("quantity"), "l_partkey").distinct()
+    keys = (
+        ForeignKey("amount", ("quantity",), "amounts", ("quantity",), enforced=True),
+        ForeignKey("part", ("l_partkey",), "part", ("p_partkey",), enforced=True),
+    )
+    link = TableSpec("quantity_part", linked, ("quantity", "l_partkey"), keys, key_enforced=True)
+    return build_graph([(link, infer_model(link))])
+
+
 def open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose customer is unknown for the lowest priority: a nullable foreign key."""
     orders = read(spark, sf_dir, "orders")
