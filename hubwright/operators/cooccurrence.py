@@ -39,7 +39,7 @@ from hubwright.session import stage_table
 
 HOT_SOURCE = 1000
 PROBED = 64  # best connected targets whose pairs set the bound; at most so many rows to an edge
-CELLS = 16  # counts in a sketch
+CELLS = 64  # counts in a sketch
 
 
 def _pairs_by_source(edges: DataFrame, node: str) -> DataFrame:
@@ -73,7 +73,7 @@ def _classes(heavy: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("size"),
         F.sum(F.xxhash64(SRC).cast("decimal(38,0)")).alias("sum1"),
         F.sum(F.xxhash64(F.lit("second"), F.reverse(SRC)).cast("decimal(38,0)")).alias("sum2"),
-        F.array(*[F.count_if(cell == i) for i in range(CELLS)]).alias("sketch"),
+        F.array(*[F.count_if(cell == i).cast("int") for i in range(CELLS)]).alias("sketch"),
     )
     signature = ["size", "sum1", "sum2"]
     leaders = sets.groupBy(*signature).agg(F.min(DST).alias("leader"))
@@ -124,25 +124,32 @@ def co_occurrence(
     if hot_sources.isEmpty():
         return top_k(_pairs_by_source(edges, DST), k, "together", ["a", "b"])
 
-    light = edges.join(hot_sources, SRC, "left_anti")
+    # by number: few edges make many pairs, and adaptive execution would put them into one task
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = edges.join(hot_sources, SRC, "left_anti").repartition(tasks, SRC)
     heavy = edges.join(hot_sources, SRC, "left_semi")
     members = stage_table(_classes(heavy))
     leaders = members.where(F.col(DST) == F.col("leader")).drop(DST)
     sets = stage_table(heavy.join(leaders.select(F.col("leader").alias(DST)), DST, "left_semi"))
     bound = _raised(bound, sets, leaders, members, k)
 
-    light_pairs = _pairs_by_source(light, DST)
+    near = _pairs_by_source(light, DST)
     for end in ("a", "b"):
-        known = [F.col(c).alias(f"{end}_{c}") for c in ("leader", "size", "sketch")]
-        light_pairs = light_pairs.join(members.select(F.col(DST).alias(end), *known), end, "left")
-    same = F.col("a_leader") == F.col("b_leader")
-    most = F.when(same, F.col("a_size")).otherwise(most_shared(F.col("a_sketch"), F.col("b_sketch")))
+        known = [F.col(c).alias(f"{end}_{c}") for c in ("leader", "size")]
+        near = near.join(members.select(F.col(DST).alias(end), *known), end, "left")
+    # sizes leave few pairs for the sketches; null where an end has no hot source
     smaller = F.when(F.col("a_size").isNotNull() & F.col("b_size").isNotNull(), F.least("a_size", "b_size"))
-    near = light_pairs.where(F.col("together") + F.coalesce(smaller, F.lit(0)) >= bound).where(F.col("together") + F.coalesce(most, F.lit(0)) >= bound)
-    near = stage_table(near.select(
+    near = near.where(F.col("together") + F.coalesce(smaller, F.lit(0)) >= bound)
+    same = F.col("a_leader") == F.col("b_leader")
+    near = near.select(
         "a", "b", "together", F.when(same, F.col("a_size")).alias("within"), F.least("a_leader", "b_leader").alias("la"),
         F.greatest("a_leader", "b_leader").alias("lb"), (smaller.isNotNull() & ~same).alias("between"),
-    ))
+    )
+    for end in ("la", "lb"):
+        near = near.join(leaders.select(F.col("leader").alias(end), F.col("sketch").alias(f"{end}_sketch")), end, "left")
+    most = F.when(F.col("between"), most_shared(F.col("la_sketch"), F.col("lb_sketch")))
+    near = near.where(F.col("together") + F.coalesce("within", most, F.lit(0)) >= bound)
+    near = stage_table(near.select("a", "b", "together", "within", "la", "lb", "between"))
 
     if bound == 1:  # nothing to leave out
         shared = _pairs_by_source(sets, DST).select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("together").alias("hot_count"))
