@@ -15,12 +15,17 @@ that are left.
 
 Strings too short for that guarantee are joined on single characters, with
 which any two similar strings have at least one in common.
+
+Short strings that few deletions make equal are joined on what is left after the deletions instead: names that differ in a number
+alone have most of their grams in common with all others, but what two of them share after deletions says that they are similar.
+So no more pairs meet than are similar, however alike the values.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,6 +34,7 @@ from hubwright.session import stage_table
 
 FREQUENT_GRAMS = 10_000  # grams whose frequency is known to the order; a few hundred kB to broadcast
 EPS = 1e-9
+VARIED, MOST_VARIANTS = 24, 200  # longest string whose deletions are listed, and how many of one length at most
 SCREENED = 200  # longest string that the JVM's edit distance screens before scoring; its time grows with the square
 
 
@@ -100,14 +106,79 @@ def _band(length: Column, threshold: float) -> Column:
     return F.floor(F.log(length.cast("double")) / math.log(widest) + 1e-9).cast("int")
 
 
-def _joined(keyed: DataFrame, gram_filter: GramFilter) -> DataFrame:
-    """Candidate pairs of digests, each once, with enough common grams: block, a (not longer than b), b."""
+def _least_common(total, threshold: float):
+    """Letters that two strings of together ``total`` letters have in common at least; of a number or a column."""
+    if isinstance(total, Column):
+        return F.greatest(F.lit(1), F.ceil(threshold * total / 2 - EPS)).cast("int")
+    return max(1, math.ceil(threshold * total / 2 - EPS))
+
+
+@dataclass(frozen=True)
+class Varied:
+    """Pairs of lengths (shorter first) whose strings are joined on deletions, and the lengths up to ``VARIED`` that grams are needed for too."""
+
+    threshold: float
+    pairs: tuple[tuple[int, int], ...]
+    by_grams: tuple[int, ...]
+
+    @classmethod
+    def of(cls, lengths: list[int], threshold: float) -> Varied:
+        pairs, others = [], set()
+        for i, la in enumerate(lengths):
+            for lb in lengths[i:]:
+                if la > VARIED or 2 * la < threshold * (la + lb) - EPS:
+                    continue
+                common = _least_common(la + lb, threshold)
+                if lb <= VARIED and max(math.comb(la, common), math.comb(lb, common)) <= MOST_VARIANTS:
+                    pairs.append((la, lb))
+                else:
+                    others |= {la, lb}
+        return cls(threshold, tuple(pairs), tuple(sorted(n for n in others if n <= VARIED)))
+
+    def holds(self, la: Column, lb: Column) -> Column:
+        return (la * (VARIED + 1) + lb).isin([a * (VARIED + 1) + b for a, b in self.pairs]) & (lb <= VARIED)
+
+    def joined(self, values: DataFrame) -> DataFrame:
+        """Pairs of digests that have enough letters in common, each once: block, a (not longer than b), b, la."""
+        wanted: dict[int, set[int]] = {}
+        for la, lb in self.pairs:
+            for n in (la, lb):
+                wanted.setdefault(n, set()).add(_least_common(la + lb, self.threshold))
+        text, length = F.col("text"), F.length("text")
+        common = F.lit(None).cast("array<int>")
+        for n, lengths in wanted.items():
+            common = F.when(length == n, F.array(*[F.lit(c) for c in sorted(lengths)])).otherwise(common)
+        left, variants = F.array(text), None
+        for deleted in range(1 + max(n - min(lengths) for n, lengths in wanted.items())):
+            if deleted:
+                left = _one_deleted(left)
+            variants = F.when(length - F.col("common") == deleted, left) if variants is None else variants.when(length - F.col("common") == deleted, left)
+        keys = values.select("block", "digest", "text", F.explode(common).alias("common"))
+        keys = stage_table(keys.select("block", "digest", length.alias("length"), "common", F.explode(F.transform(variants, lambda v: F.xxhash64(v))).alias("variant")))
+        shorter = keys.select("block", "common", "variant", F.col("digest").alias("a"), F.col("length").alias("la"))
+        longer = keys.select("block", "common", "variant", F.col("digest").alias("b"), F.col("length").alias("lb"))
+        la, lb = F.col("la"), F.col("lb")
+        once = (la < lb) | ((la == lb) & (F.col("a") < F.col("b")))
+        met = shorter.join(longer, ["block", "common", "variant"]).where(once & (F.col("common") == _least_common(la + lb, self.threshold)) & self.holds(la, lb))
+        return met.select("block", "a", "b", "la").distinct()
+
+
+def _one_deleted(texts: Column) -> Column:
+    """Every text without each of its letters, each result once."""
+    without = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    return F.array_distinct(F.flatten(F.transform(texts, without)))
+
+
+def _joined(keyed: DataFrame, gram_filter: GramFilter, varied: Varied) -> DataFrame:
+    """Candidate pairs of digests, each once, with enough common grams: block, a (not longer than b), b. Those of ``varied`` lengths are left out."""
     band = _band(F.col("length"), gram_filter.threshold)
     shorter = keyed.select("block", "gram", F.explode(F.array(band, band + 1)).alias("band"), F.col("digest").alias("a"), F.col("length").alias("la"))
     longer = keyed.select("block", "gram", band.alias("band"), F.col("digest").alias("b"), F.col("length").alias("lb"))
     near = 2.0 * F.col("la") >= gram_filter.threshold * (F.col("la") + F.col("lb")) - EPS
     once = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")))
     met = shorter.join(longer, ["block", "gram", "band"]).where(once & near)
+    if varied.pairs:
+        met = met.where(~varied.holds(F.col("la"), F.col("lb")))
     common = met.groupBy("block", "a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("la").alias("la"))
     return common.where(F.col("common") >= gram_filter.shared).select("block", "a", "b", "la")
 
@@ -120,15 +191,15 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("need 0 < threshold <= 1")
     values = stage_table(values.where(F.length("text") > 0).select("block", "text", F.unhex(F.md5("text")).alias("digest")))
-    main = GramFilter.of(threshold)
-    short = GramFilter.for_short(threshold)
-    limit = main.too_short
-    # partners of a short string are at most this long
-    reach = math.floor(limit * (2 - threshold) / threshold + EPS)
-    pairs = _joined(stage_table(_keyed(values.where(F.length("text") > limit), main)), main)
-    if limit:
-        small = stage_table(_keyed(values.where(F.length("text") <= reach), short))
-        pairs = pairs.unionByName(_joined(small, short).where(F.col("la") <= limit))
+    # lengths up to VARIED and of what may be similar to strings of these
+    most = math.floor(VARIED * (2 - threshold) / threshold + EPS)
+    lengths = values.select(F.length("text").alias("n")).where(F.col("n") <= most).distinct()
+    varied = Varied.of(sorted(r["n"] for r in lengths.collect()), threshold)
+    found = [varied.joined(values)] if varied.pairs else []
+    by_grams = values.where((F.length("text") > VARIED) | F.length("text").isin(list(varied.by_grams)))
+    if not found or not by_grams.isEmpty():
+        found.append(_by_grams(by_grams, threshold, varied))
+    pairs = reduce(DataFrame.unionByName, found)
     for end in ("a", "b"):
         text = values.select("block", F.col("digest").alias(end), F.col("text").alias(f"{end}_text"))
         pairs = pairs.join(text, ["block", end])
@@ -137,3 +208,17 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     near = pairs.where((F.greatest(F.length(x), F.length(y)) > SCREENED) | within_reach(x, y, threshold))
     scored = near.select("block", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), indel_ratio(x, y).alias("score"))
     return scored.where(F.col("score") >= threshold)
+
+
+def _by_grams(values: DataFrame, threshold: float, varied: Varied) -> DataFrame:
+    """Candidate pairs by grams."""
+    main = GramFilter.of(threshold)
+    short = GramFilter.for_short(threshold)
+    limit = main.too_short
+    # partners of a short string are at most this long
+    reach = math.floor(limit * (2 - threshold) / threshold + EPS)
+    pairs = _joined(stage_table(_keyed(values.where(F.length("text") > limit), main)), main, varied)
+    if limit:
+        small = stage_table(_keyed(values.where(F.length("text") <= reach), short))
+        pairs = pairs.unionByName(_joined(small, short, varied).where(F.col("la") <= limit))
+    return pairs
