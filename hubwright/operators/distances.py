@@ -1,4 +1,8 @@
-"""Distances of many pairs of nodes at once, with bounds from landmarks.
+"""Distances of many pairs of nodes at once, through trees first and then with bounds from landmarks.
+
+Nodes with one neighbour are taken off round by round. What goes so are trees that hang on the rest, or whole trees; in them
+there is one way, so pairs walk up, the end that went earlier first, until both ends meet or have left the trees. Only
+the nodes they leave at, each pair of them once, are searched for in the rest, which has nothing but cycles and what links them.
 
 A few nodes of highest degree are landmarks. One search from all of them together gives every node its hops to each, kept
 as one short array per node. The triangle inequality turns two such arrays into a lower and an upper bound of
@@ -16,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hubwright.operators.graph import ID, PropertyGraph
-from hubwright.session import stage_table
+from hubwright.session import broadcast_if_small, stage_table
 
 LANDMARKS = 8
 
@@ -57,11 +61,55 @@ def _bound(a: str, b: str, landmarks: int, lower: bool) -> Column:
     return reduce(lambda p, q: (F.greatest if lower else F.least)(p, q), each) if len(each) > 1 else each[0]
 
 
+def fringe(steps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Per round the nodes that went, ``at``, with the neighbour they hung on, ``up``; and the steps between nodes that stay.
+
+    Of two nodes that have only each other the smaller stays. ``steps``: both ways, each once, written before.
+    """
+    gone, rest = [], steps.where("at != next")
+    while True:
+        single = stage_table(rest.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("next").alias("up")).where("n = 1").drop("n"))
+        last = single.select(F.col("at").alias("up")).join(single, "up").where("at < up").select("at")
+        leaves = stage_table(single.join(last, "at", "left_anti"))
+        if leaves.isEmpty():
+            return gone, rest
+        gone.append(leaves)
+        ends = leaves.select("at")
+        rest = stage_table(rest.join(ends, "at", "left_anti").join(ends.withColumnRenamed("at", "next"), "next", "left_anti").select("at", "next"))
+
+
+def _climbed(pairs: DataFrame, gone: list[DataFrame]) -> tuple[list[DataFrame], DataFrame]:
+    """``source``, ``target``, the nodes ``a`` and ``b`` that the ends have come to and ``walked``: pairs that met by round, and all others."""
+    met, rest = [], pairs.select("source", "target", F.col("source").alias("a"), F.col("target").alias("b"), F.lit(0).alias("walked"))
+    for leaves in [None, *gone]:
+        if leaves is not None:
+            up = broadcast_if_small(leaves)
+            for end in ("a", "b"):
+                rest = rest.join(up.select(F.col("at").alias(end), "up"), end, "left")
+                rest = rest.withColumn("walked", F.col("walked") + F.col("up").isNotNull().cast("int")).withColumn(end, F.coalesce("up", end)).drop("up")
+        rest = stage_table(rest)
+        met.append(rest.where("a = b"))
+        rest = rest.where("a != b")
+    return met, rest
+
+
 def distances(graph: PropertyGraph, pairs: DataFrame, landmarks: int = LANDMARKS) -> DataFrame:
     """``pairs`` (source, target: structs of label and id) with ``hops``, NULL where there is no path. Pairs are taken once each."""
-    steps = stage_table(both_ways(graph))
+    gone, core = fringe(stage_table(both_ways(graph)))
+    met, rest = _climbed(pairs.select("source", "target").distinct(), gone)
+    answers = [m.select("source", "target", F.col("walked").alias("hops")) for m in met]
+    if core.isEmpty():
+        between = rest.withColumn("hops", F.lit(None).cast("int"))
+    else:
+        asked = rest.select(F.col("a").alias("source"), F.col("b").alias("target")).distinct()
+        known = _between(core, asked, landmarks).select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("hops").alias("rest"))
+        between = rest.join(known, ["a", "b"]).withColumn("hops", F.col("walked") + F.col("rest"))
+    return reduce(DataFrame.unionByName, answers, between.select("source", "target", "hops"))
+
+
+def _between(steps: DataFrame, asked: DataFrame, landmarks: int) -> DataFrame:
+    """Distinct pairs with ``hops``, by landmarks and a search of what they leave open. ``steps``: written before."""
     marks = stage_table(landmark_hops(steps, landmarks))
-    asked = pairs.select("source", "target").distinct()
     for end in ("source", "target"):
         asked = asked.join(marks.select(F.col("at").alias(end), F.col("hops").alias(f"{end}_hops")), end, "left")
     apart = F.col("source_hops").isNull() != F.col("target_hops").isNull()

@@ -7,6 +7,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from hubwright.operators import distances as distance_search
 from hubwright.operators.distances import distances, node
 from hubwright.operators.graph import PropertyGraph
 
@@ -48,3 +49,19 @@ def test_distances(spark, case, marks):
     got = distances(graph, pairs, marks).select(F.col("source.id"), F.col("target.id"), "hops")
     want = {(f"id={a}", f"id={b}", hops(edges, a).get(b)) for a, b in asked}
     assert rows(got) == sorted(want, key=repr)
+
+
+def test_a_tree_needs_no_search(spark, monkeypatch):
+    """Trees, one of two nodes and a node that links to itself only, are answered without a search."""
+    monkeypatch.setattr(distance_search, "_searched", None)
+    edges = [(i, i // 3) for i in range(1, 60)] + [(80, 81), (90, 90)]
+    names = sorted({n for e in edges for n in e})
+    graph = PropertyGraph(
+        {"N": spark.createDataFrame([(f"id={n}",) for n in names], "_id string")},
+        {("N", "TO", "N"): spark.createDataFrame([(f"id={a}", f"id={b}") for a, b in edges], "src_id string, dst_id string")},
+    )
+    asked = [(0, 59), (59, 58), (58, 3), (7, 7), (80, 81), (81, 1), (90, 90), (90, 80)]
+    pairs = spark.createDataFrame([(f"id={a}", f"id={b}") for a, b in asked], "a string, b string")
+    got = distances(graph, pairs.select(node("N", "a").alias("source"), node("N", "b").alias("target")), 1)
+    want = {(f"id={a}", f"id={b}", hops(edges, a).get(b)) for a, b in asked}
+    assert rows(got.select(F.col("source.id"), F.col("target.id"), "hops")) == sorted(want, key=repr)
