@@ -6,7 +6,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from hubwright.operators import cooccurrence, match
+from hubwright.operators import cooccurrence, match, paths
 from hubwright.operators.build import build_graph
 from hubwright.operators.cooccurrence import co_occurrence
 from hubwright.operators.graph import PropertyGraph
@@ -15,7 +15,7 @@ from hubwright.operators.paths import _both_ways, expand_path, next_level, short
 from hubwright.operators.results import as_json, bounded, bounded_rows, nodes_as_result, paths_as_result
 from hubwright.plans.model import infer_model
 from hubwright.plans.starter import starter_frames
-from hubwright.session import stage_table
+from hubwright.session import cut_lineage, stage_table
 from hubwright.sources.tables import TableSpec
 
 
@@ -226,3 +226,32 @@ def test_a_hop_reads_written_steps_only(shop):
     level = steps.limit(1).select("at", F.array().cast("array<struct<label:string,id:string,via:string>>").alias("path"))
     plan = next_level(level, steps, "source")._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "LocalRelation" not in plan and "Anti" not in plan and plan.count("Relation [") == 2
+
+
+def test_the_last_hop_is_not_walked(shop, monkeypatch):
+    """From an order over a hub to another order: no frontier of all the hub's orders is built."""
+    walked, graph = [], graph_of(shop, "orders")
+    monkeypatch.setattr(paths, "next_level", lambda level, steps, side: walked.append(side) or next_level(level, steps, side))
+    assert shortest_path(graph, ("Order", "id=1"), ("Order", "id=31"), 6).first()["hops"] == 2
+    assert len(walked) == 1
+
+
+def test_paths_into_few_nodes_are_not_sorted(spark, monkeypatch):
+    """The steps of a hop's few ends are sent to the paths, though Spark may broadcast nothing of its own."""
+    plans = []
+
+    def cut(df):
+        if "walked" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(paths, "cut_lineage", cut)
+    graph = edges_only(spark, [(f"id={i}", f"id={i // 10}") for i in range(1, 200)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = expand_path(graph, graph.node("N"), "R", 1, None)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found.count() == sum(len(str(i)) for i in range(1, 200))
+    assert plans and not any("SortMergeJoin" in plan for plan in plans)
