@@ -14,7 +14,8 @@ append is the commit. Readers take buckets without deltas as they are, and merge
 A version may carry the name of a batch, by which a repeated batch is known, and the high-water mark that belongs to it.
 
 Edges made of a table's rows are dealt by their source, of which each has few; edges of link tables by both ends, as a
-source of theirs may be hot. The number of buckets is set when a table is first written, and anew when it has outgrown them.
+source of theirs may be hot. The number of buckets is set when a table is first written, and anew when it has outgrown them;
+``bucket_rows`` below ``BUCKET_ROWS`` holds for tables of few buckets (``session.bucket_count``), so files do not grow with the rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 from hubwright.operators.build import build_graph
 from hubwright.operators.graph import DST, EDGE_ENDS, ID, SRC, EdgeKey, PropertyGraph, union_by_name
 from hubwright.plans.model import JoinModel, Model
-from hubwright.session import delete_folder, scratch, stage_table
+from hubwright.session import bucket_count, delete_folder, scratch, stage_table
 from hubwright.sources.tables import TableSpec
 
 #: Rows a bucket is planned for when its table is first written.
@@ -187,7 +188,7 @@ def _frames(graph: PropertyGraph) -> list[tuple[Name, DataFrame]]:
 
 def _new_table(name: Name, rows: int, by_source: bool, bucket_rows: int) -> StoredTable:
     dealt_by = [ID] if len(name) == 1 else [SRC] if by_source else list(EDGE_ENDS)
-    return StoredTable(name, max(1, -(-rows // bucket_rows)), dealt_by)
+    return StoredTable(name, bucket_count(rows, bucket_rows, BUCKET_ROWS), dealt_by)
 
 
 def create(graph: PropertyGraph, path: str, models: Iterable[Model] = (), bucket_rows: int = BUCKET_ROWS) -> int:
@@ -305,8 +306,9 @@ def compact(spark: SparkSession, path: str, share: float = DELTA_SHARE, most: in
     version = _Version(spark, path, max(heads, default=0))
     for table in _tables_at(spark, path, heads):
         rows = sum(n for parts in table.live.values() for folder, n in parts.items() if folder.kind != VOID)
-        if rows > 2 * bucket_rows * table.buckets:
-            version.write(StoredTable(table.name, -(-rows // bucket_rows), table.dealt_by), BASE, _table_frame(spark, table))
+        wanted = bucket_count(rows, bucket_rows, BUCKET_ROWS)
+        if wanted > 2 * table.buckets:
+            version.write(StoredTable(table.name, wanted, table.dealt_by), BASE, _table_frame(spark, table))
             continue
         buckets = table.overgrown(share, most)
         if buckets:

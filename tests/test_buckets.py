@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from test_sync import same
 
 from hubwright.operators.build import build_graph
+from hubwright.operators.graph import PropertyGraph
 from hubwright.plans.model import infer_model
+from hubwright.session import bucket_count
 from hubwright.sources import buckets
 from hubwright.streaming.sync import merge_load, sync_full
 
@@ -166,3 +168,14 @@ def test_clearing_deltas_and_unknown_columns(spark, tmp_path):
     assert rows(buckets.load(spark, path).node("Thing").select("id", "name", "w", "extra")) == want
     buckets.compact(spark, path, share=0)
     assert rows(buckets.load(spark, path).node("Thing").select("id", "name", "w", "extra")) == want
+
+
+def test_buckets_do_not_grow_with_the_rows(spark, tmp_path):
+    """Small buckets are made while they are few; a store of more rows gets larger ones, until they are full."""
+    assert [bucket_count(n, 2000, 1 << 20) for n in (0, 2001, 128_000, 54_000_000, 10**9)] == [1, 2, 64, 64, 954]
+    rows_ = spark.range(200).selectExpr("concat('id=', id) AS _id", "'id' AS _key", "id")
+    path = f"file://{tmp_path}/many"
+    buckets.create(PropertyGraph({"N": rows_}), path, bucket_rows=1)
+    assert [t.buckets for t in buckets.stored_tables(spark, path)] == [64]
+    assert buckets.compact(spark, path, bucket_rows=1) is None
+    assert buckets.load(spark, path).node("N").distinct().count() == 200
