@@ -18,9 +18,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hubwright.operators.graph import DST, ID, SRC, EdgeKey, PropertyGraph
-from hubwright.session import delete_folder, stage_table, staged_path
+from hubwright.session import bucket_count, delete_folder, stage_table, staged_path
 
-#: Edges per bucket, about.
+#: Edges per bucket, about. Fewer may be asked for, which holds while buckets are few (``session.bucket_count``).
 BUCKET_EDGES = 1 << 22
 #: Nodes of a table that may be hot, and the edges a node has at least to be.
 MOST_HOT, LEAST_HOT = 1 << 10, 1 << 16
@@ -98,7 +98,7 @@ def _write(made: Adjacency, key: EdgeKey, direction: str, edges: DataFrame, tota
     hot = stage_table(counts.select("node", F.ceil(F.col("count") / limit).cast("int").alias("parts")))
     part = F.coalesce(F.pmod(F.xxhash64("other"), F.col("parts")).cast("int"), F.lit(0))
     dealt = edges.join(F.broadcast(hot), "node", "left").select("node", part.alias("part"), "other")
-    buckets, table, folder = max(1, -(-total // bucket_edges)), f"adjacency_{uuid.uuid4().hex}", staged_path(made.spark)
+    buckets, table, folder = bucket_count(total, bucket_edges, BUCKET_EDGES), f"adjacency_{uuid.uuid4().hex}", staged_path(made.spark)
     writer = dealt.repartition(buckets, "node", "part").write.format("parquet").option("path", folder)
     writer.bucketBy(buckets, "node", "part").sortBy("node", "part").saveAsTable(table)
     made.tables[key, direction], made.hot[key, direction] = table, hot

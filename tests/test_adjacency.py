@@ -72,3 +72,15 @@ def test_a_hot_node_lies_in_several_parts(spark):
     start = made.numbers(nodes.where("_id = 'id=0'"), "N")
     assert made.step(start, key, IN, "node", "other").count() == 2000
     made.drop()
+
+
+def test_buckets_do_not_grow_with_the_edges(spark):
+    nodes = spark.range(300).selectExpr("concat('id=', id) AS _id")
+    edges = spark.range(300).selectExpr("concat('id=', id) AS src_id", "concat('id=', id * 7 % 300) AS dst_id")
+    key = ("N", "TO", "N")
+    made = build_adjacency(PropertyGraph({"N": nodes}, {key: edges}), [key], bucket_edges=2)
+    for direction in (IN, OUT):
+        table = spark.sql(f"DESCRIBE EXTENDED {made.tables[key, direction]}").where("col_name = 'Num Buckets'")
+        assert table.first()["data_type"] == "64"
+        assert spark.table(made.tables[key, direction]).count() == 300
+    made.drop()
