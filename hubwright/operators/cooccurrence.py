@@ -62,7 +62,7 @@ def _possible(edges: DataFrame, k: int) -> tuple[DataFrame, int]:
     bound = _reached(_pairs_by_source(edges.join(probed, DST, "left_semi"), DST), k)
     if bound <= 1:
         return edges, 1
-    return edges.join(degree.where(F.col("degree") >= bound).select(DST), DST, "left_semi"), bound
+    return stage_table(edges.join(degree.where(F.col("degree") >= bound).select(DST), DST, "left_semi")), bound
 
 
 def _classes(heavy: DataFrame) -> DataFrame:
@@ -118,7 +118,8 @@ def co_occurrence(
     graph: PropertyGraph, rel_type: str, k: int = 10, hot: int = HOT_SOURCE, from_label: str | None = None, to_label: str | None = None
 ) -> DataFrame:
     """The k pairs of targets that share the most sources: ``a``, ``b``, ``together``."""
-    edges, bound = _possible(graph.edge(rel_type, from_label, to_label).select(SRC, DST), k)  # a graph holds one edge per pair of ends
+    # written once, as each of the steps below would make them anew; a graph holds one edge per pair of ends
+    edges, bound = _possible(stage_table(graph.edge(rel_type, from_label, to_label).select(SRC, DST)), k)
     degree = edges.groupBy(SRC).agg(F.count(F.lit(1)).alias("degree"))
     hot_sources = stage_table(degree.where(F.col("degree") > hot).select(SRC))
     if hot_sources.isEmpty():

@@ -255,3 +255,21 @@ def test_paths_into_few_nodes_are_not_sorted(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found.count() == sum(len(str(i)) for i in range(1, 200))
     assert plans and not any("SortMergeJoin" in plan for plan in plans)
+
+
+def test_co_occurrence_makes_its_edges_once(spark, monkeypatch):
+    """Every step reads written edges, not the frame they come from."""
+    plans, possible = [], cooccurrence._possible
+
+    def spied(edges, k):
+        found = possible(edges, k)
+        plans.extend(e._jdf.queryExecution().optimizedPlan().toString() for e in (edges, found[0]))
+        return found
+
+    monkeypatch.setattr(cooccurrence, "_possible", spied)
+    pairs = [(f"s{s}", f"t{t}") for s in range(12) for t in range(20) if (s * t) % 5 < 3]
+    graph = edges_only(spark, pairs)
+    key = next(iter(graph.edges))
+    graph = PropertyGraph(graph.nodes, {key: graph.edges[key].distinct()})
+    assert rows(co_occurrence(graph, "R", 5, hot=2)) == sorted(brute_together(pairs, 5), key=repr)
+    assert plans and all(plan.strip().startswith("Relation [") for plan in plans)
