@@ -6,6 +6,8 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
@@ -58,41 +60,60 @@ def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint32).reshape(len(texts), width), lengths
 
 
-def _common_lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """``_common_length`` of many pairs at once: loops run over positions, not over pairs. ``a`` has MATRIX_LETTERS letters at most."""
-    order = np.argsort([-len(t) for t in b], kind="stable")
-    (x, x_len), (y, y_len) = _letters([a[i] for i in order]), _letters([b[i] for i in order])
-    words, rows = -(-x.shape[1] // 64), np.arange(len(a))
+def _common_lengths(a: list[str], b: list[str], at: np.ndarray | None = None, to: np.ndarray | None = None) -> np.ndarray:
+    """``_common_length`` of many pairs at once, of ``a[at]`` and ``b[to]`` or of all in turn: loops run over positions, not over pairs.
+
+    ``a`` has MATRIX_LETTERS letters at most.
+    """
+    (x, x_len), (y, y_len) = _letters(a), _letters(b)
+    at, to = (np.arange(len(a)), np.arange(len(b))) if at is None else (at, to)
+    order = np.argsort(-y_len[to], kind="stable")
+    at, to = at[order], to[order]
+    words = -(-x.shape[1] // 64)
     known, x_at = np.unique(x, return_inverse=True)
-    if len(a) > 1 and len(a) * (len(known) + 1) * words > MATRIX_CELLS:  # scripts with many letters
-        half = len(a) // 2
-        return np.concatenate([_common_lengths(a[:half], b[:half]), _common_lengths(a[half:], b[half:])])
+    if len(at) > 1 and len(a) > 1 and len(a) * (len(known) + 1) * words > MATRIX_CELLS:  # scripts with many letters
+        common, half = np.empty(len(at), np.int64), len(a) // 2
+        for low, high in ((0, half), (half, len(a))):
+            within = np.flatnonzero((at >= low) & (at < high))
+            used, ends = np.unique(to[within], return_inverse=True)
+            if len(within):
+                common[order[within]] = _common_lengths(a[low:high], [b[i] for i in used], at[within] - low, ends)
+        return common
     x_at = x_at.reshape(x.shape)
     y_at = np.searchsorted(known, y)
     y_at[known[np.minimum(y_at, len(known) - 1)] != y] = len(known)
-    y_at = np.minimum(y_at, len(known))
-    # for each pair and letter the places it has in a, as bits
-    places = np.zeros((len(a), len(known) + 1, words), np.uint64)
+    y_at = np.ascontiguousarray(np.minimum(y_at, len(known)).T)
+    # for each text of a and letter the places it has there, as bits
+    rows, row = np.arange(len(a)), len(known) + 1
+    places = np.zeros((words, len(a), row), np.uint64)
     for i in range(x.shape[1]):
         within = rows[x_len > i]
-        places[within, x_at[within, i], i // 64] |= np.uint64(1 << (i % 64))
-    open_bits = np.full((len(a), words), ~np.uint64(0))
+        places[i // 64, within, x_at[within, i]] |= np.uint64(1 << (i % 64))
+    places = places.reshape(words, -1)
+    open_bits = np.full((words, len(at)), ~np.uint64(0))
+    start, ends = at * row, -y_len[to]
     for j in range(int(y_len.max(initial=0))):
-        live = int(np.searchsorted(-y_len, -j))  # the pairs whose b goes on, as b falls in length
-        hits = places[rows[:live], y_at[:live, j]]
-        carry = np.zeros(live, bool)
+        live = int(np.searchsorted(ends, -j))  # the pairs whose b goes on, as b falls in length
+        cells = y_at[j].take(to[:live])
+        cells += start[:live]
+        carry = None
         for w in range(words):
-            old = open_bits[:live, w]
-            hit = old & hits[:, w]
+            old = open_bits[w, :live]
+            hit = places[w].take(cells)
+            hit &= old
             total = old + hit
-            over = total < old
-            total += carry
-            carry = over | (carry & (total == 0))
-            open_bits[:live, w] = total | (old - hit)
-    beyond = 64 * np.arange(words) + 64 - x_len[:, None]  # bits of the word that lie behind the end of a
+            if words > 1:
+                over = total < old
+                if carry is not None:
+                    total += carry
+                    over |= carry & (total == 0)
+                carry = over
+            old -= hit
+            old |= total
+    beyond = 64 * np.arange(words)[:, None] + 64 - x_len[at]  # bits of the word that lie behind the end of a
     used = np.where(beyond >= 64, np.uint64(0), ~np.uint64(0) >> np.clip(beyond, 0, 63).astype(np.uint64))
-    common = np.empty(len(a), np.int64)
-    common[order] = x_len - np.bitwise_count(open_bits & used).sum(axis=1)
+    common = np.empty(len(at), np.int64)
+    common[order] = x_len[at] - np.bitwise_count(open_bits & used).sum(axis=0)
     return common
 
 
@@ -136,6 +157,59 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(similarities(a.tolist(), b.tolist()), dtype="float64")
 
 
+def _pairs_of(sizes_a: np.ndarray, sizes_b: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in a and place in b of every pair of two rows of lists; of a list with itself each pair once."""
+    n = sizes_a * sizes_b
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    i, j = np.divmod(place, np.maximum(sizes_b, 1)[row])
+    kept = ~same[row] | (i < j)
+    return row[kept], i[kept], j[kept]
+
+
+def similar_in_blocks(threshold: float):
+    """For ``mapInArrow``: rows of block, two lists of texts, and whether they are the same list, to the pairs whose ``indel_ratio`` is that or more."""
+
+    def pairs(batches):
+        for batch in batches:
+            block, texts_a, texts_b = (batch.column(i) for i in range(3))
+            same = np.array(batch.column(3).to_pylist(), bool)
+            firsts = [np.asarray(t.offsets.to_numpy(), np.int64) for t in (texts_a, texts_b)]
+            flat = [t.values for t in (texts_a, texts_b)]
+            sizes = [np.diff(f) for f in firsts]
+            lengths = [pc.utf8_length(f).to_numpy().astype(np.int64) for f in flat]
+            # rows are taken together up to so many letters of pairs
+            longest = max(int(n.max(initial=1)) for n in lengths)
+            ends = np.cumsum(sizes[0] * sizes[1])
+            low, most = 0, max(1, MATRIX_CELLS // longest)
+            while low < len(ends):
+                before = int(ends[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+                row, i, j = _pairs_of(sizes[0][low:high], sizes[1][low:high], same[low:high])
+                x, y = i + firsts[0][low:high][row], j + firsts[1][low:high][row]
+                for step in range(0, len(row), most):
+                    cut = slice(step, step + most)
+                    yield from _similar(block, flat, lengths, row[cut] + low, x[cut], y[cut])
+                low = high
+
+    def _similar(block, flat, lengths, row, x, y):
+        used_x, at = np.unique(x, return_inverse=True)
+        used_y, to = np.unique(y, return_inverse=True)
+        a, b = (f.take(pa.array(used)).to_pylist() for f, used in zip(flat, (used_x, used_y)))
+        total = lengths[0][x] + lengths[1][y]
+        if max(map(len, a)) <= MATRIX_LETTERS:
+            common = _common_lengths(a, b, at, to)
+        else:
+            common = common_lengths([a[i] for i in at], [b[i] for i in to])
+        score = 2.0 * common / total
+        kept = np.flatnonzero(score >= threshold)
+        if len(kept):
+            columns = [block.take(pa.array(row[kept])), flat[0].take(pa.array(x[kept])), flat[1].take(pa.array(y[kept])), pa.array(score[kept])]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "x_text", "y_text", "score"])
+
+    return pairs
+
+
 def within_reach(a: Column, b: Column, threshold: float) -> Column:
     """Lossless JVM-side screen for ``indel_ratio(a, b) >= threshold``.
 
